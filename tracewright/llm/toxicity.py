@@ -11,8 +11,8 @@ random tiles of clean ones. A document's score is that of its highest tile, so o
 text counts. The threshold is the one with the best F1 on a fifth of the sample that isn't trained
 on; ties take the highest.
 
-The sample is bounded: at most ``SAMPLE`` labelled documents, those with the smallest hash of id.
-Everything else covers all documents.
+The sample is bounded: at most ``SAMPLE // 2`` labelled documents of either class, those with the
+smallest hash of id. Everything else covers all documents.
 
 Defined cases: a null or blank text has score 0 and is never rejected; labels that are null, or
 neither 0 nor 1, aren't used; a document with both labels counts as toxic; without labelled
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Spooled, column, hinted
 from .kernels import SPACE, U, batch_blocks, byte_prefix, hash_spans, spans
 
-SAMPLE = 12_000
+SAMPLE = 2_400
 TILE = 6
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
@@ -206,11 +206,13 @@ def train(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, seed: int = 7) -
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bound: int = SAMPLE) -> DataFrame:
-    """(id, text, y) of at most ``bound`` labelled documents, by hash of id."""
+    """(id, text, y) of at most ``bound`` labelled documents, half of them of either class, by hash of id."""
     known = labels.select(column(labels, "doc_id").cast("long").alias("id"), column(labels, "toxic").alias("y")).where("id is not null and y in (0, 1)")
     known = known.groupBy("id").agg(F.max("y").cast("int").alias("y"))
     ids = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).isNotNull().alias("some")).where("some").select("id").distinct()
-    picked = Spooled(known.join(ids, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(bound))
+    known = known.join(ids, "id", "left_semi")
+    first = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(bound // 2) for y in (0, 1)]
+    picked = Spooled(first[0].union(first[1]))
     src = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).alias("text")).where("text is not null")
     return src.join(F.broadcast(picked.df), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
