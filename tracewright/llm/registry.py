@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, imatch, licenses, minhash, packing, toxicity, warc
+from . import chat, decontaminate, imatch, licenses, lm, minhash, packing, suffix, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,8 +49,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    made = (op1_warc, op2_chat, op3_toxicity, op4_decontamination, op5_packing, op7_imatch, op8_licenses, op9_minhash)
+    made = (op1_warc, op2_chat, op3_toxicity, op4_decontamination, op5_packing, op6_lm, op7_imatch, op8_licenses, op9_minhash, op10_suffix)
     return {f.__name__: f for f in made}
 
 
