@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Spooled, column, hinted
-from .kernels import SPACE, U, batch_blocks, byte_prefix, hash_spans, spans
+from .kernels import SPACE, U, batch_blocks, blocks, byte_prefix, hash_spans, spans
 
 SAMPLE = 2_400
 TILE = 6
@@ -37,6 +37,8 @@ BUCKETS = 1 << 18
 DIM = 8
 ROUNDS = 4
 BATCH = 4096
+#: Bytes of text that are taken apart at once; n-grams need some hundred times as much memory.
+BLOCK = 1_000_000
 
 
 def _spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -101,13 +103,19 @@ class Tiles:
     """The n-grams of many tiles, as one ragged array."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        starts, ends, first = spans(data, offsets, SPACE)
-        tile, self.doc = tiles(first)
-        parts = list(grams(data, starts, ends))
-        owner = np.concatenate([tile[w] for _, w in parts]) if parts else np.zeros(0, np.int64)
-        order = np.argsort(owner, kind="stable")
-        self.bucket = (np.concatenate([b for b, _ in parts]) if parts else np.zeros(0, np.int64))[order].astype(np.int32)
-        self.cut = np.searchsorted(owner[order], np.arange(len(self.doc) + 1))
+        docs, buckets, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for i, j in blocks(offsets, BLOCK):
+            own = data[offsets[i] : offsets[j]]
+            starts, ends, first = spans(own, offsets[i : j + 1] - offsets[i], SPACE)
+            tile, doc = tiles(first)
+            parts = [(bucket.astype(np.int32), tile[word].astype(np.int32)) for bucket, word in grams(own, starts, ends)]
+            owner = np.concatenate([t for _, t in parts]) if parts else np.zeros(0, np.int32)
+            order = np.argsort(owner, kind="stable")
+            buckets.append(np.concatenate([x for x, _ in parts])[order] if parts else np.zeros(0, np.int32))
+            sizes.append(np.bincount(owner, minlength=len(doc)))
+            docs.append(doc + i)
+        self.doc, self.bucket = np.concatenate(docs), np.concatenate(buckets)
+        self.cut = np.append(0, np.cumsum(np.concatenate(sizes)))
 
     def take(self, which: np.ndarray):
         n = self.cut[which + 1] - self.cut[which]
@@ -249,7 +257,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         weights = np.frombuffer(shared.value, np.float32).astype(np.float64)
-        for batch, i, j, data, offsets in batch_blocks(batches, "text", lower=True):
+        for batch, i, j, data, offsets in batch_blocks(batches, "text", lower=True, size=BLOCK):
             s = doc_scores(weights, bias, data, offsets)
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(s), pa.array((s >= cut) & (s > 0))], names=["doc_id", "score", "toxic"])
 
