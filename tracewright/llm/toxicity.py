@@ -1,7 +1,8 @@
 """Toxic documents by a subword-bag classifier, trained here in numpy.
 
-A tile is ``TILE`` successive words. Its features are the byte n-grams (``GRAMS``) of the lower-case
-words with one space at either side, hashed to ``BUCKETS``; a tile is the mean of their embeddings,
+A tile is ``TILE`` successive words. Its features are the byte n-grams (``GRAMS``) of its distinct lower-case
+words with one space at either side, hashed to ``BUCKETS``; a tile is the mean of their embeddings (of at
+least ``FLOOR``, the missing ones as zero, so that one word over and over isn't all there is),
 followed by a two-class linear softmax. Embeddings and softmax are trained jointly. Misspellings and
 new inflections of a known word share most of its n-grams, so they score alike.
 
@@ -35,7 +36,8 @@ TILE = 6
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 DIM = 8
-ROUNDS = 4
+ROUNDS = 10
+FLOOR = 64
 BATCH = 4096
 #: Bytes of text that are taken apart at once; n-grams need some hundred times as much memory.
 BLOCK = 1_000_000
@@ -80,15 +82,25 @@ def tiles(first: np.ndarray):
     return tile, np.repeat(np.arange(len(n)), per)
 
 
-def tile_scores(weights: np.ndarray, bias: float, data: np.ndarray, offsets: np.ndarray):
-    """Toxic probability of each tile, and the document of each. weights: by bucket."""
+def tiled(data: np.ndarray, offsets: np.ndarray):
+    """Starts, ends and tile of each word, but for those that a tile has before; the document of every tile."""
     starts, ends, first = spans(data, offsets, SPACE)
     tile, doc = tiles(first)
+    h = hash_spans(byte_prefix(data), starts, ends)
+    order = np.lexsort((h, tile))
+    keep = np.ones(len(h), bool)
+    keep[order[1:]] = (h[order[1:]] != h[order[:-1]]) | (tile[order[1:]] != tile[order[:-1]])
+    return starts[keep], ends[keep], tile[keep], doc
+
+
+def tile_scores(weights: np.ndarray, bias: float, data: np.ndarray, offsets: np.ndarray):
+    """Toxic probability of each tile, and the document of each. weights: by bucket."""
+    starts, ends, tile, doc = tiled(data, offsets)
     total, count = np.zeros(len(starts)), np.zeros(len(starts))
     for bucket, word in grams(data, starts, ends):
         total += np.bincount(word, weights[bucket], len(starts))
         count += np.bincount(word, minlength=len(starts))
-    mean = np.bincount(tile, total, len(doc)) / np.maximum(np.bincount(tile, count, len(doc)), 1)
+    mean = np.bincount(tile, total, len(doc)) / np.maximum(np.bincount(tile, count, len(doc)), FLOOR)
     return 1 / (1 + np.exp(-np.clip(mean + bias, -30, 30))), doc
 
 
@@ -106,8 +118,7 @@ class Tiles:
         docs, buckets, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for i, j in blocks(offsets, BLOCK):
             own = data[offsets[i] : offsets[j]]
-            starts, ends, first = spans(own, offsets[i : j + 1] - offsets[i], SPACE)
-            tile, doc = tiles(first)
+            starts, ends, tile, doc = tiled(own, offsets[i : j + 1] - offsets[i])
             parts = [(bucket.astype(np.int32), tile[word].astype(np.int32)) for bucket, word in grams(own, starts, ends)]
             owner = np.concatenate([t for _, t in parts]) if parts else np.zeros(0, np.int32)
             order = np.argsort(owner, kind="stable")
@@ -121,11 +132,11 @@ class Tiles:
         n = self.cut[which + 1] - self.cut[which]
         row = np.repeat(np.arange(len(which)), n)
         at = np.arange(int(n.sum())) + np.repeat(self.cut[which] - (np.cumsum(n) - n), n)
-        return self.bucket[at], row, 1.0 / np.maximum(n, 1)
+        return self.bucket[at], row, 1.0 / np.maximum(n, FLOOR)
 
     def scores(self, weights: np.ndarray, bias: float) -> np.ndarray:
         total = np.append(0.0, np.cumsum(weights[self.bucket]))
-        n = np.maximum(np.diff(self.cut), 1)
+        n = np.maximum(np.diff(self.cut), FLOOR)
         return (total[self.cut[1:]] - total[self.cut[:-1]]) / n + bias
 
 
