@@ -9,8 +9,8 @@ new inflections of a known word share most of its n-grams, so they score alike.
 Labels are of documents, so training chooses the tiles: at first all tiles of toxic documents count
 as toxic; after each round only the highest-scored tiles of each do, against the highest-scored and
 random tiles of clean ones. A document's score is that of its highest tile, so one insult in a long
-text counts. The threshold is the one with the best F1 on a fifth of the sample that isn't trained
-on; ties take the highest.
+text counts. The threshold is the one with the best F1, false alarms weighing ``FALSE_ALARM`` times, on a
+fifth of the sample that isn't trained on; ties take the highest.
 
 The sample is bounded: at most ``SAMPLE // 2`` labelled documents of either class, those with the
 smallest hash of id. Everything else covers all documents.
@@ -38,7 +38,12 @@ BUCKETS = 1 << 18
 DIM = 8
 ROUNDS = 10
 FLOOR = 64
+#: Tiles of a step at most, and steps of a pass at least, as far as steps of 32 tiles go.
 BATCH = 4096
+STEPS = 32
+RATE = 0.2
+#: Weight of a clean document taken for toxic; the sample has far more toxic ones than a corpus.
+FALSE_ALARM = 8
 #: Bytes of text that are taken apart at once; n-grams need some hundred times as much memory.
 BLOCK = 1_000_000
 
@@ -203,9 +208,10 @@ def train(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, seed: int = 7) -
         all_ = np.concatenate([chosen, hard, easy])
         for _ in range(2):
             rng.shuffle(all_)
-            for k in range(0, len(all_), BATCH):
-                part = all_[k : k + BATCH]
-                model.step(*t.take(part), toxic[part].astype(np.int64), 0.5)
+            size = min(BATCH, max(32, len(all_) // STEPS))
+            for k in range(0, len(all_), size):
+                part = all_[k : k + size]
+                model.step(*t.take(part), toxic[part].astype(np.int64), RATE)
         score = t.scores(*model.folded())
         keep = np.flatnonzero(toxic & trained)
         chosen = keep[top_tile(score[keep], t.doc[keep], n, 2 if turn < ROUNDS - 2 else 1)]
@@ -217,7 +223,8 @@ def train(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, seed: int = 7) -
     s, truth = best[check], y[check]
     order = np.argsort(-s, kind="stable")
     hits = np.cumsum(truth[order])
-    f1 = 2 * hits / (np.arange(1, len(s) + 1) + truth.sum())
+    false = np.arange(1, len(s) + 1) - hits
+    f1 = 2 * hits / (hits + FALSE_ALARM * false + truth.sum())
     k = int(np.argmax(f1))
     after = s[order][k + 1] if k + 1 < len(s) else s[order][k] - 1
     cut = (s[order][k] + after) / 2
