@@ -265,6 +265,8 @@ def _train(batches):
 def model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE) -> tuple[bytes, float, float]:
     """Trained in one task; the model is BUCKETS floats whatever the data."""
     row = sample(docs, labels, id_col, text_col, bound).repartition(1).mapInArrow(_train, "weights binary, bias double, cut double").first()
+    if row is None:  # no labelled document, so no task ran
+        return np.zeros(BUCKETS, np.float32).tobytes(), 0.0, 2.0
     return bytes(row["weights"]), row["bias"], row["cut"]
 
 
