@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.jsonx import get, not_blank
 from ..schema import MESSAGES
 
-EMPTY = F.lit("")
-
 
 def _role(*names: str) -> Callable[[Column], Column]:
     return lambda m: m["role"].isin(*names)
@@ -27,12 +25,12 @@ def _said(m: Column) -> Column:
 
 
 def _content(m: Column) -> Column:
-    return F.coalesce(m["content"], EMPTY)
+    return F.coalesce(m["content"], F.lit(""))
 
 
 def call_name(m: Column) -> Column:
     c = m["content"]
-    return F.coalesce(F.nullif(m["tool_name"], EMPTY), F.nullif(get(c, "tool_name"), EMPTY), F.nullif(get(c, "name"), EMPTY), F.lit("unknown_tool"))
+    return F.coalesce(F.nullif(m["tool_name"], F.lit("")), F.nullif(get(c, "tool_name"), F.lit("")), F.nullif(get(c, "name"), F.lit("")), F.lit("unknown_tool"))
 
 
 def call_args(m: Column) -> Column:
@@ -42,7 +40,7 @@ def call_args(m: Column) -> Column:
 
 
 def result_text(m: Column) -> Column:
-    return F.coalesce(m["tool_result"], m["content"], EMPTY)
+    return F.coalesce(m["tool_result"], m["content"], F.lit(""))
 
 
 def _staged(df: DataFrame, key: Column) -> DataFrame:
@@ -53,7 +51,7 @@ def _staged(df: DataFrame, key: Column) -> DataFrame:
         F.when(m["role"] == "tool_response", result_text(m)).otherwise(_content(m)).alias("text"),
         F.when(m["role"] == "tool_call", call_name(m)).otherwise(m["tool_name"]).alias("name"),
         F.when(m["role"] == "tool_call", call_args(m)).alias("args"),
-        F.when(m["role"] == "tool_call", F.coalesce(F.nullif(m["tool_call_id"], EMPTY), made(i))).otherwise(F.nullif(m["tool_call_id"], EMPTY)).alias("id"),
+        F.when(m["role"] == "tool_call", F.coalesce(F.nullif(m["tool_call_id"], F.lit("")), made(i))).otherwise(F.nullif(m["tool_call_id"], F.lit(""))).alias("id"),
     )
     return df.withColumn("__m", F.transform(F.coalesce("messages", F.array().cast(MESSAGES)), one))
 
@@ -84,7 +82,7 @@ def paired(messages: Column) -> Column:
         by_name = place(open_, lambda p: p["name"] == m["name"])
         oldest = F.when(F.size(open_) > 0, F.lit(0)).otherwise(F.lit(-1))
         at = F.when(m["id"].isNotNull(), by_id).when(by_name >= 0, by_name).otherwise(oldest)
-        answer = F.coalesce(m["id"], F.try_element_at(open_, at + 1)["id"], F.lit("call_unknown"))
+        answer = F.coalesce(m["id"], F.get(open_, at)["id"], F.lit("call_unknown"))
         answer = F.when(m["id"].isNull() & (at < 0), F.lit("call_unknown")).otherwise(answer)
         more = F.concat(open_, F.array(F.struct(m["id"].alias("id"), m["name"].alias("name"))))
         return F.struct(
@@ -92,7 +90,6 @@ def paired(messages: Column) -> Column:
             F.concat(ids, F.array(F.when(m["kind"] == "tool_response", answer))).alias("ids"),
         )
 
-    # try_element_at(…, 0) would raise, so a miss looks at place 1 and is masked above
     return F.aggregate(messages, start, lambda s, m: step(s, m), lambda s: s["ids"])
 
 
@@ -113,13 +110,13 @@ def chat_messages(df: DataFrame, key: Column | None = None, strict: bool = False
     call = lambda m: F.struct(m["id"].alias("id"), F.lit("function").alias("type"), F.struct(m["name"].alias("name"), m["args"].alias("arguments")).alias("function"))
     calls = lambda i: F.transform(F.slice("__m", i + 1, F.greatest(run_end(i) - i, F.lit(0))), call)
     no_calls = F.lit(None).cast("array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>")
-    kind_at = lambda i: F.coalesce(F.get("__m", i)["kind"], EMPTY)
+    kind_at = lambda i: F.coalesce(F.get("__m", i)["kind"], F.lit(""))
 
     def turn(role: str, content: Column, tool_calls: Column = no_calls, answers: Column | None = None) -> Column:
         return F.struct(F.lit(role).alias("role"), content.alias("content"), tool_calls.alias("tool_calls"), (answers if answers is not None else F.lit(None).cast("string")).alias("tool_call_id"))
 
     def one(m: Column, i: Column) -> Column:
-        before, after = F.when(i > 0, kind_at(i - 1)).otherwise(EMPTY), kind_at(i + 1)
+        before, after = F.when(i > 0, kind_at(i - 1)).otherwise(F.lit("")), kind_at(i + 1)
         answer = F.get("__ids", i)
         result = turn("tool", m["text"], answers=answer)
         if strict:
@@ -127,9 +124,9 @@ def chat_messages(df: DataFrame, key: Column | None = None, strict: bool = False
         return (
             F.when(m["kind"] == "system", turn("system", m["text"]))
             .when(m["kind"] == "user", turn("user", m["text"]))
-            .when((m["kind"] == "assistant") & (after == "tool_call"), turn("assistant", F.when(not_blank(m["text"]), m["text"]).otherwise(EMPTY), calls(i + 1)))
+            .when((m["kind"] == "assistant") & (after == "tool_call"), turn("assistant", F.when(not_blank(m["text"]), m["text"]).otherwise(F.lit("")), calls(i + 1)))
             .when((m["kind"] == "assistant") & not_blank(m["text"]), turn("assistant", m["text"]))
-            .when((m["kind"] == "tool_call") & ~before.isin("tool_call", "assistant"), turn("assistant", EMPTY, calls(i)))
+            .when((m["kind"] == "tool_call") & ~before.isin("tool_call", "assistant"), turn("assistant", F.lit(""), calls(i)))
             .when(m["kind"] == "tool_response", result)
         )
 
@@ -177,7 +174,7 @@ def sharegpt(df: DataFrame, out: str = "value") -> DataFrame:
 
 def _quoted(c: Column) -> Column:
     text = F.to_json(F.array(c))
-    return F.substring(text, 2, F.length(text) - 2) if False else text.substr(F.lit(2), F.length(text) - 2)
+    return text.substr(F.lit(2), F.length(text) - 2)
 
 
 def _users(of: str = "messages") -> Column:
@@ -194,19 +191,19 @@ def alpaca(df: DataFrame, out: str = "value", system_as_instruction: bool = Fals
     history = F.when(n > 1, F.slice(F.zip_with("__u", "__a", lambda u, a: F.array(u, a)), F.lit(1), F.greatest(n - 1, F.lit(0))))
     systems = F.filter("messages", _role("system"))
     system = F.when(F.size(systems) > 0, _content(F.try_element_at(systems, F.lit(1))))
-    user = F.coalesce(F.try_element_at("__u", F.lit(-1)), EMPTY)
-    answer = F.coalesce(F.try_element_at("__a", F.lit(-1)), EMPTY)
+    user = F.coalesce(F.try_element_at("__u", F.lit(-1)), F.lit(""))
+    answer = F.coalesce(F.try_element_at("__a", F.lit(-1)), F.lit(""))
     as_it = F.lit(system_as_instruction) & system.isNotNull()
     record = F.struct(
-        F.when(as_it, system).otherwise(user).alias("instruction"), F.when(as_it, user).otherwise(EMPTY).alias("input"), answer.alias("output"),
+        F.when(as_it, system).otherwise(user).alias("instruction"), F.when(as_it, user).otherwise(F.lit("")).alias("input"), answer.alias("output"),
         F.when(~as_it, system).alias("system"), history.alias("history"),
     )
     return df.withColumn(out, F.to_json(record)).drop("__u", "__a")
 
 
 def prompt_completion(df: DataFrame, out: str = "value") -> DataFrame:
-    first = F.coalesce(F.try_element_at(_users(), F.lit(1)), EMPTY)
-    last = F.coalesce(F.try_element_at(_answers(), F.lit(-1)), EMPTY)
+    first = F.coalesce(F.try_element_at(_users(), F.lit(1)), F.lit(""))
+    last = F.coalesce(F.try_element_at(_answers(), F.lit(-1)), F.lit(""))
     return df.withColumn(out, F.to_json(F.struct(first.alias("prompt"), last.alias("completion"))))
 
 
