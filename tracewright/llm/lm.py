@@ -40,6 +40,9 @@ BATCH = 256
 _PLACES = KNOWN + 2  # inputs: known ids, the beginning, padding
 _BEGIN, _PAD = KNOWN, KNOWN + 1
 _F = np.float32
+#: Queries of a block when scoring.
+QUERIES = 16
+_LOWER = np.tril(np.ones((QUERIES, QUERIES), _F))
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, _F), 1)
 
 
@@ -83,7 +86,7 @@ def _joined(x: np.ndarray) -> np.ndarray:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(-1, keepdims=True)
+    z -= z.max(-1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(-1, keepdims=True)
     return z
@@ -95,8 +98,7 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, dict]:
     e = p["emb"][x] + p["pos"][:t]
     q, k, v = _heads(e @ p["q"]), _heads(e @ p["k"]), _heads(e @ p["v"])
     z = q @ k.transpose(0, 1, 3, 2) * _F((DIM // HEADS) ** -0.5)
-    z += _MASK[:t, :t]
-    z += np.where(x == _PAD, _F(-1e9), _F(0))[:, None, None, :]
+    z += _MASK[:t, :t]  # padding is at the end, where no token looks
     a = _softmax(z)
     mixed = _joined(a @ v)
     h = e + mixed @ p["o"]
@@ -114,12 +116,54 @@ def _logs(p: dict[str, np.ndarray], g: np.ndarray, y: np.ndarray):
     return log_softmax(g @ p["wc"] + p["bc"]), log_softmax(g @ p["wp"] + p["bp"][y // CLASSES])
 
 
-def losses(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """-log p of the places y at the flat positions ``at`` of the windows x."""
-    g = forward(p, x)[0].reshape(-1, DIM)[at]
-    c, w = _logs(p, g, y)
-    row = np.arange(len(y))
-    return -(c[row, y // CLASSES] + w[row, y % CLASSES])
+def hidden(p: dict[str, np.ndarray], x: np.ndarray, start: int = 0) -> np.ndarray:
+    """forward() for scoring: hidden states of the positions from ``start`` on. Queries go in blocks that see
+    only the keys up to their end, and sums divide the mixed values instead of the weights."""
+    n, t = x.shape
+    e = p["emb"][x]
+    e += p["pos"][:t]
+    k, v = _heads(e @ p["k"]), _heads(e @ p["v"])
+    own = e[:, start:]
+    q = _heads(own @ (p["q"] * _F((DIM // HEADS) ** -0.5)))
+    large = float((q * q).sum(-1).max(initial=0)) * float((k * k).sum(-1).max(initial=0)) > 60.0**2
+    mixed = np.empty(own.shape, e.dtype)
+    for a in range(0, t - start, QUERIES):
+        b = min(t - start, a + QUERIES)
+        z = q[:, :, a:b] @ k[:, :, : start + b].transpose(0, 1, 3, 2)
+        if large:
+            z -= z.max(-1, keepdims=True)
+        np.exp(z, out=z)
+        z[..., start + a :] *= _LOWER[: b - a, : b - a]
+        m = z @ v[:, :, : start + b]
+        m /= z.sum(-1, keepdims=True)
+        mixed[:, a:b] = _joined(m)
+    h = own + mixed @ p["o"]
+    r = h @ p["w1"] + p["b1"]
+    np.maximum(r, 0, out=r)
+    return h + r @ p["w2"]
+
+
+def _cost(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """-log softmax at one column of each row."""
+    chosen = z[np.arange(len(at)), at]
+    top = 0.0
+    if z.max(initial=0) > 60:
+        top = z.max(-1)
+        z -= top[:, None]
+    np.exp(z, out=z)
+    return np.log(z.sum(-1)) + top - chosen
+
+
+def losses(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, at: np.ndarray, start: int = 0) -> np.ndarray:
+    """-log p of the places y at the flat positions ``at`` of the windows x, none of them before ``start``."""
+    row, col = np.divmod(at, x.shape[1])
+    g = hidden(p, x, start).reshape(-1, DIM)[row * (x.shape[1] - start) + col - start]
+    z = g @ p["wc"]
+    z += p["bc"]
+    cost = _cost(z, y // CLASSES)
+    z = g @ p["wp"]
+    z += p["bp"][y // CLASSES]
+    return cost + _cost(z, y % CLASSES)
 
 
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -134,8 +178,9 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, at: np.nda
     dw[row, y % CLASSES] -= 1
     dc *= m
     dw *= m
-    d = {"wc": g.T @ dc, "bc": dc.sum(0), "wp": g.T @ dw, "bp": np.zeros_like(p["bp"])}
-    np.add.at(d["bp"], y // CLASSES, dw)
+    of_class = np.zeros(dw.shape, dw.dtype)
+    of_class[row, y // CLASSES] = 1
+    d = {"wc": g.T @ dc, "bc": dc.sum(0), "wp": g.T @ dw, "bp": of_class.T @ dw}
     back = np.zeros((out.shape[0] * out.shape[1], DIM), _F)
     back[at] = dc @ p["wc"].T + dw @ p["wp"].T
     back = back.reshape(out.shape)
@@ -146,10 +191,12 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, at: np.nda
     dh = back + dr @ p["w1"].T
     d["o"] = flat(s["mixed"]).T @ flat(dh)
     dm = _heads(dh @ p["o"].T)
-    da = dm @ s["v"].transpose(0, 1, 3, 2)
+    dz = dm @ s["v"].transpose(0, 1, 3, 2)
     dv = s["a"].transpose(0, 1, 3, 2) @ dm
-    dz = s["a"] * (da - (da * s["a"]).sum(-1, keepdims=True)) * _F((DIM // HEADS) ** -0.5)
-    dq, dk = dz @ s["k"], dz.transpose(0, 1, 3, 2) @ s["q"]
+    dz -= (dm * _heads(s["mixed"])).sum(-1, keepdims=True)  # what each row of weights passes on, times the weights
+    dz *= s["a"]
+    scale = _F((DIM // HEADS) ** -0.5)
+    dq, dk = dz @ (s["k"] * scale), dz.transpose(0, 1, 3, 2) @ (s["q"] * scale)
     de = dh.copy()
     for name, x_ in (("q", dq), ("k", dk), ("v", dv)):
         x_ = _joined(x_)
@@ -317,14 +364,16 @@ def _scored(shared):
             total = np.zeros(len(first) - 1)
             win = context(ids, first)
             places = vocabulary.place[np.minimum(ids, len(vocabulary.place) - 1)]
-            order = np.argsort(win[3] - win[1], kind="stable")  # windows of like length together
-            for k in range(0, len(order), BATCH):
-                part = [w[order[k : k + BATCH]] for w in win]
-                x, source, at = windows_of(places, first, *part)
-                t = max(1, int((part[3] - part[1]).max()))
-                row, col = np.divmod(at, WINDOW)
-                loss = losses(p, x[:, :t], places[source].astype(np.int64), row * t + col) + vocabulary.extra[np.minimum(ids[source], len(vocabulary.extra) - 1)]
-                total += np.bincount(part[0][row], loss, len(total))
+            for start in (0, WINDOW - STRIDE):  # texts' first windows, then the others, whose first tokens are scored already
+                group = np.flatnonzero(win[2] == 0 if start == 0 else win[2] > 0)
+                order = group[np.argsort((win[3] - win[1])[group], kind="stable")]  # windows of like length together
+                for k in range(0, len(order), BATCH):
+                    part = [w[order[k : k + BATCH]] for w in win]
+                    x, source, at = windows_of(places, first, *part)
+                    t = max(start + 1, int((part[3] - part[1]).max()))
+                    row, col = np.divmod(at, WINDOW)
+                    loss = losses(p, x[:, :t], places[source].astype(np.int64), row * t + col, start) + vocabulary.extra[np.minimum(ids[source], len(vocabulary.extra) - 1)]
+                    total += np.bincount(part[0][row], loss, len(total))
             n = np.diff(first)
             mean = pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n.astype(np.int64)), mean], names=["doc_id", "n_tokens", "nll"])
