@@ -74,7 +74,7 @@ def _processor(idle_ms: int):
                     if end:
                         yield self._out(key, held, True)
                         held = []
-            for t in self.handle.listTimers():
+            for t in list(self.handle.listTimers()) if idle_ms else ():
                 self.handle.deleteTimer(t)
             if held:
                 self.parts.put(held)
@@ -97,10 +97,10 @@ def _processor(idle_ms: int):
 
 def merge_stream(events: DataFrame, idle_ms: int = 0) -> DataFrame:
     """(session, segment, messages, complete) of a stream of EVENT rows, each session as it ends. idle_ms also
-    gives out, marked incomplete, what has waited so long; 0 keeps it until it ends or is drained."""
+    gives out, marked incomplete, what has waited so long, and needs a trigger by time; 0 keeps it until it ends."""
     end = ends(F.col("iterations"), F.col("max_iter"), F.col("messages"))
     flat = events.select("session", "seq", F.to_json("messages").alias("part"), end.alias("end"))
-    out = flat.groupBy("session").transformWithStateInPandas(statefulProcessor=_processor(idle_ms), outputStructType="session string, segment long, parts string, complete boolean", outputMode="Append", timeMode="ProcessingTime")
+    out = flat.groupBy("session").transformWithStateInPandas(statefulProcessor=_processor(idle_ms), outputStructType="session string, segment long, parts string, complete boolean", outputMode="Append", timeMode="ProcessingTime" if idle_ms else "None")
     parts = F.from_json("parts", f"array<{MESSAGES}>")
     return out.select("session", "segment", merged(parts).alias("messages"), "complete")
 
