@@ -49,8 +49,8 @@ def test_crewai():
     assert turns(m) == [("user", "go"), ("assistant", "done")] and m.session == "5" and m.views["agent"]["name"] == "R" and m.views["instantiation"]["iterations"] == 2
     (m,) = made({"tool_name": "search", "tool_input": '{"q": 1}', "tool_result": None, "tool_call_id": 3}, "crewai")
     assert roles_of(m) == ["tool_call", "tool_response"] and m.messages[0]["tool_args"] == {"q": 1} and m.messages[0]["tool_call_id"] == "3"
-    (m,) = made({"tool_name": "search", "tool_input": {}, "tool_call_id": 3}, "crewai", leak=True)
-    assert m.messages[0]["tool_args"] == {"_agentscribe": {"tool_call_id": "3"}}
+    (m,) = made({"tool_name": "search", "tool_input": {}, "tool_call_id": 3}, "crewai", leak="_own")
+    assert m.messages[0]["tool_args"] == {"_own": {"tool_call_id": "3"}}
     assert roles_of(made({"event": {"type": "ToolUsageFinished", "tool_name": "x", "output": "y"}}, "crewai")[0]) == ["tool_call", "tool_response"]
     (m,) = made({"event": {"event_type": "CrewKickoff", "input": "a", "output": "b"}}, "crewai")
     assert turns(m) == [("user", "a"), ("assistant", "b")] and m.spans[0][0] == "crewai.event"

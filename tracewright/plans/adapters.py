@@ -84,13 +84,14 @@ def answer(name: Any, result: Any, id_: Any = None) -> Message:
     return {"role": "tool_response", "content": text(result), "tool_name": string(name), "tool_result": None if result is None else text(result), "tool_call_id": string(id_)}
 
 
-def leaking(m: Message, leak: bool, **aux: Any) -> Message:
-    """The call as some converters of compat mode make it: its id among the arguments instead of beside them."""
+def leaking(m: Message, leak: bool | str, **aux: Any) -> Message:
+    """The call as some converters of compat mode make it: its id among the arguments, under the key that leak
+    names (``_aux``), instead of beside them."""
     if not leak:
         return m
     id_ = m.pop("tool_call_id", None)
     if m["role"] == "tool_call" and (kept := compact({"tool_call_id": id_} | aux)):
-        m["tool_args"] = {**m["tool_args"], "_agentscribe": kept}
+        m["tool_args"] = {**m["tool_args"], leak if isinstance(leak, str) else "_aux": kept}
     return m
 
 
@@ -753,9 +754,9 @@ def _row(key: str, k: int, m: Made) -> dict:
     return row | {"spans": [{"kind": kind, "payload": dumps(p)} for kind, p in m.spans], "metadata": dumps(m.metadata)}
 
 
-def normalized(df: DataFrame, source: str, compat: bool = False, **options: Any) -> DataFrame:
-    """Rows of schema.INTERACTION for rows of schema.RAW. compat: call ids go among the arguments where the
-    shared builder puts them, and arrays of a stream are not taken for tuples."""
+def normalized(df: DataFrame, source: str, compat: bool | str = False, **options: Any) -> DataFrame:
+    """Rows of schema.INTERACTION for rows of schema.RAW. compat: call ids go among the arguments, under the
+    key it names, where the shared builder puts them, and arrays of a stream are not taken for tuples."""
     source = source_name(source)
     empty = dict.fromkeys([*TEXT_VIEWS, *JSON_VIEWS, "id", "source_framework", "session_id", "timestamp", "metadata"])
     from pyspark.sql.pandas.types import to_arrow_schema
