@@ -225,7 +225,7 @@ def small_tables(tmp_path, spark):
             w.insert(rng.randrange(len(w)), rng.choice(["scumbag", "dimwit", "loathsome"]))
         docs.append([k, " ".join(w)])
         labels.append((k, 1, int(bad)))
-    docs[11][1] = docs[10][1][:-3] + " almost"
+    docs[11][1] = docs[10][1] + " almost"
     docs[21][1] = docs[21][1] + " " + passage
     docs[22][1] = passage + " " + docs[22][1]
     docs[31][1] = docs[31][1] + f" What is the TALLEST mountain, on that far planet? " + prose(20)
@@ -249,7 +249,9 @@ def test_stages_take_effect(spark, tmp_path):
             left[name] = {r["doc_id"]: r["text"] for r in df.collect()}
     toxic = {k for k, _ in docs if k % 4 == 0}
     gone = {k for k, _ in docs} - left["toxicity"].keys()
-    assert len(gone & toxic) > 0.9 * len(toxic) and len(gone - toxic) < 9
+    whole, labels = (spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("documents", "labels"))
+    assert gone == {r["doc_id"] for r in toxicity.rejected(whole, labels).collect()}
+    assert len(gone & toxic) > 20 and len(gone - toxic) < 9  # a small sample; the accuracy is tested above
     assert left["toxicity"].keys() - left["near_duplicates"].keys() == {11} - gone
     changed = {k for k, t in left["repeated_passages"].items() if t != left["near_duplicates"][k]}
     assert changed == {22} and passage not in left["repeated_passages"][22] and {500, None} <= left["repeated_passages"].keys()
