@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Bytes of text that a block of whole documents holds, unless one document is longer.
 BLOCK = 2_000_000
+#: Rows of a batch that are taken at once.
+ROWS = 512
 _R = 0x9E3779B97F4A7C15
 _Q = 0xD1342543DE82EF95
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -78,16 +80,20 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
 
 
 def batch_blocks(batches, text: str, lower: bool = False, size: int = BLOCK):
-    """(record batch, its first row, row after its last, bytes, offsets) for each block."""
+    """(record batch, its first row, row after its last, bytes, offsets) for each block.
+
+    A batch is taken ROWS rows at a time, so that only these are copied, and what Arrow keeps of a finished
+    batch goes back.
+    """
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        col = batch.column(text)
-        if lower:
-            col = pc.utf8_lower(col)
-        data, offsets = buffers(col)
-        for i, j in blocks(offsets, size):
-            yield batch, i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        for at in range(0, batch.num_rows, ROWS):
+            col = batch.column(text).slice(at, ROWS)
+            if lower:
+                col = pc.utf8_lower(col)
+            data, offsets = buffers(col)
+            for i, j in blocks(offsets, size):
+                yield batch, at + i, at + j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        pa.default_memory_pool().release_unused()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = SPACE):
