@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Spooled, column, hinted
 from .kernels import SPACE, U, batch_blocks, blocks, byte_prefix, hash_spans, spans
 
-SAMPLE = 1_600
+SAMPLE = 2_400
 TILE = 6
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
