@@ -222,6 +222,23 @@ def test_shuffled_lexicon_gives_the_same(spark):
     imatch.duplicates(documents(spark)).collect()
 
 
+def test_every_exact_copy_is_found(spark):
+    rng = random.Random(11)
+    rows = [(k, " ".join(f"t{rng.randrange(300)}" for _ in range(20))) for k in range(100)]
+    few = ["the same few words", "THE " * 300, "short", "…!?", "t1 t2 unheard", " 中文 "]
+    rows += [(1000 + 10 * k + c, t) for k, t in enumerate(few) for c in range(3)] + [(2000, "--"), (2001, " \n"), (2002, ""), (2003, "the same few")]
+    df = documents(spark, rows)
+    found = imatch.duplicates(df).collect()
+    same = {r["doc_id"]: r["same_as"] for r in found}
+    assert sorted(r["doc_id"] for r in found) == sorted(k for k, t in rows if t.strip())
+    assert all(same[1000 + 10 * k + c] == 1000 + 10 * k for k in range(len(few)) for c in range(3))
+    assert same[2000] == 2000 and same[2003] == 2003
+    assert sorted(map(tuple, found), key=str) == sorted(map(tuple, imatch.duplicates(df, lexicon_rows=0).collect()), key=str)
+    cut = sorted(map(tuple, imatch.duplicates(df, every=False).collect()), key=str)
+    assert cut == sorted(map(tuple, imatch.duplicates(df, lexicon_rows=0, every=False).collect()), key=str)
+    assert set(cut) < set(map(tuple, found)) and len(cut) < len(found)
+
+
 # licences
 
 

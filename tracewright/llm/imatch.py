@@ -11,9 +11,13 @@ Document frequencies count all documents. Each task counts within its blocks; su
 term. A lexicon of up to ``LEXICON_ROWS`` terms goes to every worker; a larger one is joined by
 shuffle, with the same result.
 
-Defined cases: a null id or text has no fingerprint; so has a document with fewer than ``MIN_TERMS``
-kept terms, or a subset that leaves fewer (the fingerprint is null); rows that share an id count and are
-fingerprinted each, and same_as is the least over them. An empty table gives no rows; further columns are ignored.
+A document with fewer than ``MIN_TERMS`` kept terms has a fingerprint 0 of all its distinct terms, or of its
+text if it has none, which can't equal one of kept terms, and no others: so exact copies among such documents
+are found too. ``every=False`` leaves these documents out, as ``ORACLE_SQL`` does.
+
+Defined cases: a null id, a null, empty or blank text has no fingerprint; a subset that leaves fewer than
+``MIN_TERMS`` terms has none (it is null); rows that share an id count and are fingerprinted each, and same_as
+is the least over them. An empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -98,6 +102,16 @@ def prints(terms: list[str], lacks: dict[str, int]) -> list[str | None]:
     return out
 
 
+def _all_terms(text: str, found) -> list[str]:
+    """Sorted terms of a text; a mark of the text itself if it has none; nothing if it is blank."""
+    return sorted(_terms(text, found)) or (["#" + hashlib.md5(text.encode()).hexdigest()] if text.strip() else [])
+
+
+def whole_print(terms: list[str]) -> list[str | None]:
+    """Fingerprints of a document with too few kept terms, from all its sorted terms. No term has a star."""
+    return [hashlib.md5(("* " + " ".join(terms)).encode()).hexdigest(), *[None] * LEXICONS]
+
+
 def lacking(term: str) -> int:
     return sum(1 << k for k in range(1, LEXICONS + 1) if not in_lexicon(k, term))
 
@@ -107,8 +121,9 @@ def _out(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), *(pa.array(x, pa.string()) for x in fps)], names=["doc_id", "n_terms", *(f"fp_{k}" for k in range(LEXICONS + 1))])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon_rows: int = LEXICON_ROWS) -> DataFrame:
-    """(doc_id, n_terms, fp_0, ...) of each row with enough kept terms."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon_rows: int = LEXICON_ROWS, every: bool = True) -> DataFrame:
+    """(doc_id, n_terms, fp_0, ...) of each row with terms; n_terms counts the kept ones. Without ``every``, of
+    each row with enough kept terms."""
     src = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).alias("text")).where("id is not null and text is not null")
     band = Spooled(lexicon(src))
     schema = f"doc_id long, n_terms int, {_COLUMNS}"
@@ -125,6 +140,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     terms = sorted(_terms(text, found) & lacks.keys())
                     if len(terms) >= MIN_TERMS:
                         rows.append((key, len(terms), *prints(terms, lacks)))
+                    elif every and (own := _all_terms(text, found)):
+                        rows.append((key, len(terms), *whole_print(own)))
                 yield _out(rows)
 
         return src.mapInArrow(run, schema)
@@ -135,27 +152,31 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = regex.compile(TERM).findall
         for batch in batches:
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                terms = sorted(_terms(text, found))
+                terms = _all_terms(text, found)
                 row = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(terms), pa.int64()), pa.array([row] * len(terms), pa.int64()), pa.array(terms, pa.string())], names=["id", "row", "term"])
 
     def listed(batches):
         for batch in batches:
             rows = []
-            for key, terms, copies in zip(*(batch.column(c).to_pylist() for c in ("id", "terms", "copies")), strict=True):
+            for key, terms, others, copies in zip(*(batch.column(c).to_pylist() for c in ("id", "terms", "others", "copies")), strict=True):
                 if len(terms) >= MIN_TERMS:
                     terms.sort()
                     rows += [(key, len(terms), *prints(terms, {t: lacking(t) for t in terms}))] * copies
+                elif every:
+                    rows += [(key, len(terms), *whole_print(sorted(terms + others)))] * copies
             yield _out(rows)
 
     flat = src.mapInArrow(pairs, "id long, row long, term string").groupBy("id", "row", "term").agg(F.count("*").alias("copies"))
-    kept = flat.join(band.df, "term").groupBy("id", "row").agg(F.collect_list("term").alias("terms"), F.max("copies").alias("copies"))
+    marked = flat.join(band.df.withColumn("kept", F.lit(True)), "term", "left" if every else "inner")
+    listed_if = lambda test, name: F.collect_list(F.when(test, F.col("term"))).alias(name)
+    kept = marked.groupBy("id", "row").agg(listed_if(F.col("kept").isNotNull(), "terms"), listed_if(F.col("kept").isNull(), "others"), F.max("copies").alias("copies"))
     return kept.mapInArrow(listed, schema)
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon_rows: int = LEXICON_ROWS) -> DataFrame:
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon_rows: int = LEXICON_ROWS, every: bool = True) -> DataFrame:
     """fingerprints() and same_as, the smallest doc_id that shares one (the document's own if no other does)."""
-    made = Spooled(fingerprints(docs, id_col, text_col, lexicon_rows)).df
+    made = Spooled(fingerprints(docs, id_col, text_col, lexicon_rows, every)).df
     names = [f"fp_{k}" for k in range(LEXICONS + 1)]
     each = made.select("doc_id", F.posexplode(F.array(*names)).alias("k", "fp")).where("fp is not null")
     low = each.groupBy("k", "fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
