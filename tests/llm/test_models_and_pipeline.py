@@ -105,6 +105,28 @@ def test_later_tokens_do_not_matter():
     assert np.allclose(per_token(ids[:40]), per_token(ids)[:40], atol=1e-5)
 
 
+def test_every_window_trains_once(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choices(WORDS, k=rng.randrange(1, 400)))) for k in range(40)]
+    src = documents(spark, rows).selectExpr("doc_id as id", "text").repartition(2)
+    tokens = lm.Spooled(src.mapInArrow(lm._tokenized(lm.VOCABULARY), "id long, ids binary")).df
+    real, calls = lm._trained, []
+
+    def watched(*args):
+        calls.append(args)
+        return real(*args)
+
+    monkeypatch.setattr(lm, "_trained", watched)
+    for some, many in ((tokens, True), (tokens.limit(1), False)):
+        calls.clear()
+        v, p = lm.train(some)
+        batches = some.toArrow().to_batches()
+        n = [sum(out.column("n").to_pylist()[0] for out in real(*args)(iter(batches))) for args in calls]
+        assert sum(n) == sum(len(lm.context(*lm._ids_of(b))[0]) for b in batches)
+        assert not many or len(n) == lm.ROUNDS and min(n) > 0
+        assert not np.array_equal(p["wc"], lm.start(v)["wc"])
+
+
 def test_scores_learn_and_cover_every_token(spark):
     rng = random.Random(4)
     follow = {w: rng.sample(WORDS, 2) for w in WORDS}

@@ -6,10 +6,10 @@ the class. Classes come from the counts of all ids of the corpus: ids are ordere
 ``CLASSES`` classes of ``CLASSES`` places; ids beyond share the last place, and their probability within
 it follows their counts. The output biases start from these counts.
 
-Training is by averaging: every task trains from the same parameters on its own share of the corpus, one
-window in ``SHARE`` (by hash of the document and place), and the results are averaged by the number of
-windows, ``ROUNDS`` times. So what is gathered grows with the corpus, as do the tasks that do it. All else
-covers every token: a context window holds ``WINDOW`` tokens and the next one begins ``STRIDE`` later; a
+Training is one pass over every window, by averaging: the windows are dealt to ``ROUNDS`` rounds (by hash of
+the document and place); in each, every task trains from the same parameters on its own windows of the round,
+and the results are averaged by the number of windows. So what is gathered grows with the corpus, as do the
+tasks that do it. A context window holds ``WINDOW`` tokens and the next one begins ``STRIDE`` later; a
 window scores only what the one before did not, so each token is scored once and, but at the beginning of a
 text, with at least WINDOW - STRIDE tokens before it. Windows are scored in batches under one causal mask,
 with padding masked.
@@ -34,7 +34,6 @@ WINDOW, STRIDE = 64, 48
 DIM, HEADS, HIDDEN = 16, 2, 32
 CLASSES = 64
 KNOWN = CLASSES * CLASSES
-SHARE = 24
 ROUNDS = 3
 BATCH = 256
 _PLACES = KNOWN + 2  # inputs: known ids, the beginning, padding
@@ -339,8 +338,10 @@ def _unflat(raw: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def train(tokens: DataFrame, share: int = SHARE, rounds: int = ROUNDS) -> tuple[Vocabulary, dict[str, np.ndarray]]:
-    """Vocabulary from all ids, and parameters. tokens: (id, ids), spooled."""
+def train(tokens: DataFrame, share: int | None = None, rounds: int = ROUNDS) -> tuple[Vocabulary, dict[str, np.ndarray]]:
+    """Vocabulary from all ids, and parameters. A round takes one window in ``share``: by default in as many as
+    there are rounds, so that each window trains once. tokens: (id, ids), spooled."""
+    share = share or rounds
     sc = tokens.sparkSession.sparkContext
     counts = tokens.mapInArrow(_counted, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     vocabulary = Vocabulary(counts["token"].to_numpy().astype(np.int64), counts["n"].to_numpy())
@@ -350,8 +351,8 @@ def train(tokens: DataFrame, share: int = SHARE, rounds: int = ROUNDS) -> tuple[
         # a tree: groups of tasks first, so that no task reads all
         parts = made.withColumn("g", F.pmod(F.xxhash64("p"), F.lit(16))).groupBy("g").applyInArrow(_averaged, "n long, p binary")
         row = parts.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(_averaged, "n long, p binary").first()
-        if row is None:
-            break
+        if row is None:  # no window fell to this round
+            continue
         p = _unflat(row["p"], p)
     return vocabulary, p
 
@@ -381,7 +382,7 @@ def _scored(shared):
     return run
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, share: int = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, share: int | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_tokens, nll): mean negative log-probability of a token."""
     src = docs.select(column(docs, id_col).cast("long").alias("id"), F.coalesce(column(docs, text_col), F.lit("")).alias("text")).where("id is not null")
     tokens = Spooled(src.mapInArrow(_tokenized(vocabulary), "id long, ids binary"))
