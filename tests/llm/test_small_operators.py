@@ -279,3 +279,46 @@ def test_licences_equal_naive(spark):
     assert {k: {n: round(d, 9) for n, d in v.items()} for k, v in got.items()} == {k: {n: round(d, 9) for n, d in v.items()} for k, v in want.items()}
     assert len(want) > 30
     assert licenses.found(documents(spark)).collect() == [] and licenses.found(documents(spark).limit(0)).collect() == []
+
+
+def best_windows(text, templates):
+    """By every window of words, grown word by word."""
+    w, out = licenses.words_of(text), {}
+    pairs = list(zip(w, w[1:]))
+    for name, t in templates:
+        bag = Counter(zip(v := licenses.words_of(t), v[1:]))
+        for a in range(len(pairs)):
+            seen, shared = Counter(), 0
+            for b in range(a, len(pairs)):
+                seen[pairs[b]] += 1
+                shared += seen[pairs[b]] <= bag[pairs[b]]
+                d = 2 * shared / (b - a + 1 + bag.total())
+                if d >= licenses.THRESHOLD:
+                    out[name] = max(out.get(name, 0), d)
+    return out
+
+
+def test_licences_in_any_lines_equal_all_windows(spark):
+    import textwrap
+
+    rng = random.Random(8)
+    dotted = ("Dotted", "First you may copy this.\nThen you may change that.\nLast you may sell both.\n")
+    templates = licenses.TEMPLATES + licenses.FULL_TEXTS + (dotted,)
+    fill = lambda n: " ".join(rng.choice(["of the", "this", "license", "w1", "w2", "to the", "rights reserved"]) for _ in range(rng.randrange(n)))
+    rows = [(k, "\n".join(textwrap.wrap(t, width)) if k % 2 else "\n\n".join(textwrap.wrap(t, width))) for k, (width, (_, t)) in enumerate((w, t) for w in (30, 50) for t in templates)]
+    whole = len(rows)
+    for k in range(whole, whole + 60):
+        text = rng.choice(templates)[1].split()
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(len(text))] = rng.choice(["changed", "the", text[0], "two words", "."])
+        at = rng.randrange(len(text) + 1)
+        text[at:at] = fill(4).split()
+        rows.append((k, f"{fill(12)} {rng.choice([' ', chr(10)]).join(text)}\n{fill(12)} {rng.choice(templates)[1]} {fill(5)}"))
+    got = {}
+    for r in licenses.found(documents(spark, rows), templates=templates, anywhere=True).collect():
+        got.setdefault(r["doc_id"], {})[r["license"]] = round(r["dice"], 9)
+        part = dict(rows)[r["doc_id"]][r["start"] : r["end"]]
+        assert round(best_windows(part, [t for t in templates if t[0] == r["license"]])[r["license"]], 9) == round(r["dice"], 9)
+    assert got == {k: {n: round(d, 9) for n, d in v.items()} for k, t in rows if (v := best_windows(t, templates))}
+    assert all(got[k][templates[k % len(templates)][0]] == 1 for k in range(whole))
+    assert licenses.found(documents(spark), anywhere=True).collect() == []

@@ -1,6 +1,9 @@
 """Licence texts in documents, by the Dice coefficient over word bigrams.
 
-Documents and templates are normalised: lower case, words of letters and digits. Compared are the
+Documents and templates are normalised: lower case, words of letters and digits. With ``anywhere``, every
+window of a document's words is compared, whatever its lines and sentences: a window of the best coefficient
+begins and ends with a bigram of the template, so only such are looked at, and those only where enough of the
+template's bigrams lie within the sizes that can reach the threshold. Without, compared are the
 sentences and lines of a document (it is cut at line breaks and after a full stop that white space
 follows) and runs of up to ``RUN`` of them, as a notice may take several. Each is a bag of word bigrams;
 its Dice coefficient with a template is twice the number of shared bigrams by the sum of both sizes. At
@@ -11,6 +14,8 @@ any bigram of a template: their coefficient is 0.
 The result is every template found in a document, with the best coefficient and the first run that has
 it. Of runs that overlap, each template counts by itself.
 
+``start`` and ``end`` are those of the best window; of equal ones, the first that begins, then the first that ends.
+
 Defined cases: a null id, a null, empty or blank text has no licence; texts of one word have no bigrams
 and none either; equal templates are reported by the first name; rows that share an id are scanned each
 and the best is reported. An empty table gives no rows; further columns are ignored.
@@ -18,6 +23,7 @@ and the best is reported. An empty table gives no rows; further columns are igno
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right
 from collections import Counter
 
@@ -53,6 +59,19 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Proprietary", "All rights reserved."),
 )
 
+#: Whole licence texts, which only windows of words can hold.
+FULL_TEXTS: tuple[tuple[str, str], ...] = (
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION
+OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+)
+
 
 def words_of(text: str) -> list[str]:
     """Words as the kernels take them: runs of ASCII letters, digits and bytes beyond ASCII."""
@@ -81,6 +100,7 @@ class Templates:
         self.all = sorted(seen.values(), key=lambda t: (t[1].total(), t[0]))
         self.sizes = [bag.total() for _, bag in self.all]
         self.known = np.array(sorted({h for _, bag in self.all for h in bag}), U)
+        self.own = [(np.searchsorted(self.known, np.array(sorted(bag), U)), np.array([bag[h] for h in sorted(bag)])) for _, bag in self.all]
         self.threshold = threshold
         self.bound = threshold / (2 - threshold)
 
@@ -150,12 +170,56 @@ def _scan(known: Templates, data: np.ndarray, offsets: np.ndarray):
                 yield int(doc_of[p]), name, d, int(starts[a]), int(ends[b - 1])
 
 
-def _scanned(templates, threshold: float):
+def _scan_words(known: Templates, data: np.ndarray, offsets: np.ndarray):
+    """(document, name, coefficient, start byte, end byte) of the best window of words for each template."""
+    h, at, starts, ends, first = bigrams(data, offsets)
+    if not len(h) or not len(known.known):
+        return
+    place = np.minimum(np.searchsorted(known.known, h), len(known.known) - 1)
+    hit = known.known[place] == h
+    at, place = at[hit], place[hit]
+    doc = np.searchsorted(first, at, side="right") - 1
+    copies = np.zeros(len(known.known), np.int64)
+    for (name, _), size, (own, counts) in zip(known.all, known.sizes, known.own, strict=True):
+        copies[own] = counts
+        n = copies[place]
+        copies[own] = 0
+        mine = np.flatnonzero(n)
+        need = max(1, math.ceil(size * known.bound - 1e-9))
+        if len(mine) < need:
+            continue
+        a, d, n = at[mine], doc[mine], n[mine]
+        largest = int(size / known.bound + 1e-9)
+        begins = np.flatnonzero((a[need - 1 :] - a[: len(a) - need + 1] < largest) & (d[need - 1 :] == d[: len(d) - need + 1]))
+        if not len(begins):
+            continue
+        stop = np.minimum(np.searchsorted(a, a[begins] + largest), np.searchsorted(d, d[begins], side="right"))
+        # a bigram counts in a window from i on if the one as many copies before it as the template has lies before i
+        order = np.argsort(place[mine], kind="stable")
+        nth, same = np.arange(len(order)) - n[order], place[mine][order]
+        earlier = np.full(len(order), -1)
+        has = nth >= 0
+        has[has] = same[nth[has]] == same[has]
+        earlier[order[has]] = order[nth[has]]
+        best: dict[int, tuple[float, int, int]] = {}
+        for i, j in zip(begins.tolist(), stop.tolist(), strict=True):
+            shared = np.cumsum(earlier[i:j] < i)
+            if shared[-1] < need:
+                continue
+            score = 2 * shared / (a[i:j] - a[i] + 1 + size)
+            k = int(score.argmax())
+            if score[k] >= known.threshold and ((old := best.get(int(d[i]))) is None or score[k] > old[0]):
+                best[int(d[i])] = (float(score[k]), i, i + k)
+        for where, (score, i, k) in best.items():
+            yield where, name, score, int(starts[a[i]]), int(ends[a[k] + 1])
+
+
+def _scanned(templates, threshold: float, anywhere: bool):
     def run(batches):
         known = Templates(templates, threshold)
         for batch, i, j, low, offsets in batch_blocks(batches, "text", lower=True):
             best: dict[tuple[int, str], tuple[float, int, int]] = {}
-            for doc, name, d, a, b in _scan(known, low, offsets):
+            for doc, name, d, a, b in (_scan_words if anywhere else _scan)(known, low, offsets):
                 old = best.get((doc, name))
                 if old is None or (-d, a, b) < (-old[0], old[1], old[2]):
                     best[doc, name] = (d, a, b)
@@ -168,9 +232,10 @@ def _scanned(templates, threshold: float):
     return run
 
 
-def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, license, dice, start, end): each licence of a document, and the characters of its best run."""
+def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, anywhere: bool = False) -> DataFrame:
+    """(doc_id, license, dice, start, end): each licence of a document, and the characters of its best run, or
+    with ``anywhere`` of its best window of words."""
     src = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).alias("text")).where("id is not null and text is not null")
-    each = src.mapInArrow(_scanned(tuple(templates), threshold), "doc_id long, license string, dice double, start long, end long")
+    each = src.mapInArrow(_scanned(tuple(templates), threshold, anywhere), "doc_id long, license string, dice double, start long, end long")
     first = F.min(F.struct((-F.col("dice")).alias("d"), "start", "end")).alias("m")
     return each.groupBy("doc_id", "license").agg(first).select("doc_id", "license", (-F.col("m.d")).alias("dice"), "m.start", "m.end")

@@ -48,7 +48,7 @@ def op7_imatch_every(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.found(table(spark, sf_dir, "documents"))
+    return licenses.found(table(spark, sf_dir, "documents"), templates=licenses.TEMPLATES + licenses.FULL_TEXTS, anywhere=True)
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
