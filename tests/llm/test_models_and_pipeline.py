@@ -85,6 +85,24 @@ def test_gradients_are_those_of_the_loss():
         lm._F = kind
 
 
+def test_every_id_has_its_own_place():
+    for n in (1, 63, 64, 4095, 9000):
+        ids = np.arange(n) * 5
+        v = lm.Vocabulary(ids, np.arange(1, n + 1))
+        p = lm.start(v)
+        assert len(set(v.place[ids].tolist())) == n and v.place.max() < v.classes**2 == p["bp"].size
+        rare = v.place[ids[:200]].astype(int)
+        x, source, at = lm.windows_of(rare, np.array([0, len(rare)]), *lm.context(rare, np.array([0, len(rare)])))
+        y = rare[source]
+        assert len(p["emb"]) > x.max() and len(set(x[x > lm._PAD].tolist())) == min(n, 200) - 1
+        assert np.allclose(lm.losses(p, x, y, at), -np.log(p_of(v))[y], atol=1e-4)
+
+
+def p_of(v):
+    """Probability of each place by the counts alone, as an untrained model has it."""
+    return (np.exp(v.class_bias.astype(float))[:, None] * np.exp(v.place_bias.astype(float))).ravel()
+
+
 def test_later_tokens_do_not_matter():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 200, 200)

@@ -2,9 +2,9 @@
 
 A token is embedded with its place in the window; one causal self-attention block (``HEADS`` heads) with a
 residual and a ReLU layer follows; the next id is predicted in two steps, its class, then the id's place in
-the class. Classes come from the counts of all ids of the corpus: ids are ordered by count and dealt to
-``CLASSES`` classes of ``CLASSES`` places; ids beyond share the last place, and their probability within
-it follows their counts. The output biases start from these counts.
+the class. Classes come from the counts of all ids of the corpus: ids are ordered by count and dealt to as
+many classes as each has places, enough that every id has its own place and embedding. The output biases
+start from these counts.
 
 Training is one pass over every window, by averaging: the windows are dealt to ``ROUNDS`` rounds (by hash of
 the document and place); in each, every task trains from the same parameters on its own windows of the round,
@@ -21,6 +21,8 @@ no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,12 +34,9 @@ from .tokens import VOCABULARY, tokenizer
 
 WINDOW, STRIDE = 64, 48
 DIM, HEADS, HIDDEN = 16, 2, 32
-CLASSES = 64
-KNOWN = CLASSES * CLASSES
 ROUNDS = 3
 BATCH = 256
-_PLACES = KNOWN + 2  # inputs: known ids, the beginning, padding
-_BEGIN, _PAD = KNOWN, KNOWN + 1
+_BEGIN, _PAD, _INPUTS = 0, 1, 2  # inputs: the beginning, padding, then the places
 _F = np.float32
 #: Queries of a block when scoring.
 QUERIES = 16
@@ -46,31 +45,28 @@ _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, _F), 1)
 
 
 class Vocabulary:
-    """Places of ids by count, and the extra cost of an id that shares the last place."""
+    """Places of ids by count, in ``classes`` classes of as many places."""
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray):
         order = np.lexsort((ids, -counts))
         ids, counts = ids[order].astype(np.int64), counts[order].astype(np.float64)
-        self.place = np.full(int(ids.max(initial=0)) + 2, KNOWN - 1, np.int32)
-        self.place[ids] = np.minimum(np.arange(len(ids)), KNOWN - 1)
-        by_place = np.bincount(self.place[ids], counts, KNOWN) + 1.0
-        self.extra = np.zeros(len(self.place), _F)  # -log p(id | last place)
-        rest = ids[KNOWN - 1 :]
-        if len(rest) > 1:
-            self.extra[rest] = -np.log(counts[KNOWN - 1 :] / counts[KNOWN - 1 :].sum())
-        grid = by_place.reshape(CLASSES, CLASSES)
+        self.classes = math.isqrt(len(ids)) + 1  # a place is left for ids that the corpus lacks
+        places = self.classes * self.classes
+        self.place = np.full(int(ids.max(initial=0)) + 2, len(ids), np.int32)
+        self.place[ids] = np.arange(len(ids))
+        grid = (np.bincount(self.place[ids], counts, places) + 1.0).reshape(self.classes, self.classes)
         self.class_bias = np.log(grid.sum(1) / grid.sum()).astype(_F)
         self.place_bias = np.log(grid / grid.sum(1, keepdims=True)).astype(_F)
 
 
 def start(v: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
+    rng, classes = np.random.default_rng(seed), v.classes
     w = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape).astype(_F)
     return {
-        "emb": rng.normal(0, 0.3, (_PLACES, DIM)).astype(_F), "pos": rng.normal(0, 0.1, (WINDOW, DIM)).astype(_F),
+        "emb": rng.normal(0, 0.3, (classes * classes + _INPUTS, DIM)).astype(_F), "pos": rng.normal(0, 0.1, (WINDOW, DIM)).astype(_F),
         "q": w(DIM, DIM), "k": w(DIM, DIM), "v": w(DIM, DIM), "o": w(DIM, DIM),
         "w1": w(DIM, HIDDEN), "b1": np.zeros(HIDDEN, _F), "w2": w(HIDDEN, DIM),
-        "wc": np.zeros((DIM, CLASSES), _F), "bc": v.class_bias.copy(), "wp": np.zeros((DIM, CLASSES), _F), "bp": v.place_bias.copy(),
+        "wc": np.zeros((DIM, classes), _F), "bc": v.class_bias.copy(), "wp": np.zeros((DIM, classes), _F), "bp": v.place_bias.copy(),
     }
 
 
@@ -112,7 +108,7 @@ def _logs(p: dict[str, np.ndarray], g: np.ndarray, y: np.ndarray):
         z -= np.log(np.exp(z).sum(-1, keepdims=True))
         return z
 
-    return log_softmax(g @ p["wc"] + p["bc"]), log_softmax(g @ p["wp"] + p["bp"][y // CLASSES])
+    return log_softmax(g @ p["wc"] + p["bc"]), log_softmax(g @ p["wp"] + p["bp"][y // len(p["bc"])])
 
 
 def hidden(p: dict[str, np.ndarray], x: np.ndarray, start: int = 0) -> np.ndarray:
@@ -156,13 +152,14 @@ def _cost(z: np.ndarray, at: np.ndarray) -> np.ndarray:
 def losses(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, at: np.ndarray, start: int = 0) -> np.ndarray:
     """-log p of the places y at the flat positions ``at`` of the windows x, none of them before ``start``."""
     row, col = np.divmod(at, x.shape[1])
+    y_class, y_place = np.divmod(y, len(p["bc"]))
     g = hidden(p, x, start).reshape(-1, DIM)[row * (x.shape[1] - start) + col - start]
     z = g @ p["wc"]
     z += p["bc"]
-    cost = _cost(z, y // CLASSES)
+    cost = _cost(z, y_class)
     z = g @ p["wp"]
-    z += p["bp"][y // CLASSES]
-    return cost + _cost(z, y % CLASSES)
+    z += p["bp"][y_class]
+    return cost + _cost(z, y_place)
 
 
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -171,14 +168,15 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, at: np.nda
     g = out.reshape(-1, DIM)[at]
     c, w = _logs(p, g, y)
     row, m = np.arange(len(y)), _F(1 / max(1, len(y)))
-    loss = -float((c[row, y // CLASSES] + w[row, y % CLASSES]).sum() * m)
+    y_class, y_place = np.divmod(y, len(p["bc"]))
+    loss = -float((c[row, y_class] + w[row, y_place]).sum() * m)
     dc, dw = np.exp(c), np.exp(w)
-    dc[row, y // CLASSES] -= 1
-    dw[row, y % CLASSES] -= 1
+    dc[row, y_class] -= 1
+    dw[row, y_place] -= 1
     dc *= m
     dw *= m
     of_class = np.zeros(dw.shape, dw.dtype)
-    of_class[row, y // CLASSES] = 1
+    of_class[row, y_class] = 1
     d = {"wc": g.T @ dc, "bc": dc.sum(0), "wp": g.T @ dw, "bp": of_class.T @ dw}
     back = np.zeros((out.shape[0] * out.shape[1], DIM), _F)
     back[at] = dc @ p["wc"].T + dw @ p["wp"].T
@@ -204,7 +202,7 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, at: np.nda
     d["pos"] = np.zeros_like(p["pos"])
     d["pos"][: x.shape[1]] = de.sum(0)
     ids = s["x"].ravel()
-    d["emb"] = np.stack([np.bincount(ids, flat(de)[:, j], _PLACES) for j in range(DIM)], 1).astype(_F)
+    d["emb"] = np.stack([np.bincount(ids, flat(de)[:, j], len(p["emb"])) for j in range(DIM)], 1).astype(_F)
     return loss, d
 
 
@@ -228,7 +226,7 @@ def windows_of(places: np.ndarray, first: np.ndarray, text: np.ndarray, begin: n
     source = first[text][:, None] + at
     x = np.full(at.shape, _PAD, np.int64)
     before = inside & (at > 0)
-    x[before] = places[(source - 1)[before]]
+    x[before] = places[(source - 1)[before]] + _INPUTS
     x[inside & (at == 0)] = _BEGIN
     flat = np.flatnonzero(inside & (at >= scored[:, None]))
     return x, source.ravel()[flat], flat
@@ -373,7 +371,7 @@ def _scored(shared):
                     x, source, at = windows_of(places, first, *part)
                     t = max(start + 1, int((part[3] - part[1]).max()))
                     row, col = np.divmod(at, WINDOW)
-                    loss = losses(p, x[:, :t], places[source].astype(np.int64), row * t + col, start) + vocabulary.extra[np.minimum(ids[source], len(vocabulary.extra) - 1)]
+                    loss = losses(p, x[:, :t], places[source].astype(np.int64), row * t + col, start)
                     total += np.bincount(part[0][row], loss, len(total))
             n = np.diff(first)
             mean = pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
