@@ -32,9 +32,12 @@ def deduplicated(df: DataFrame) -> DataFrame:
     Arguments compare as JSON: keys in any order. One row in, one row out, no shuffle.
     """
     sign = lambda m: F.struct(m["role"], m["content"], m["tool_name"], F.coalesce(F.to_json(F.try_parse_json(m["tool_args"])), m["tool_args"]))
-    signs = df.withColumn("__s", F.transform("messages", lambda m: F.to_json(sign(m))))
-    first = F.filter("messages", lambda _, i: F.array_position("__s", F.get("__s", i)) == i + 1)
-    return signs.withColumn("messages", first).drop("__s")
+    # signatures sorted with their places: the first of equal ones stays, so no message is compared with all before it
+    ranked = F.array_sort(F.transform("messages", lambda m, i: F.struct(F.to_json(sign(m)).alias("s"), i.alias("i"))))
+    df = df.withColumn("__s", ranked)
+    firsts = F.filter("__s", lambda x, k: (k == 0) | (F.get("__s", k - 1)["s"] != x["s"]))
+    places = F.array_sort(F.transform(firsts, lambda x: x["i"]))
+    return df.withColumn("messages", F.transform(places, lambda i: F.get("messages", i))).drop("__s")
 
 
 def deduplicated_rows(rows: DataFrame, key: str, seq: str, *signature: str) -> DataFrame:

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from typing import Any
 from urllib.parse import parse_qs, urlencode, urlsplit
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,7 +125,7 @@ def batched(items: list, n: int) -> Iterator[list]:
 def write_jsonl(df: DataFrame, uri: str, mode: str = "w", compression: str = "infer", single: bool = False, batch_size: int = 1000, dataset: str = "default", format_name: str = "", metadata: dict | None = None) -> WriteResult:
     """Rows of ``value`` (JSON text) as lines. w replaces what is there once all is written, a adds to it.
 
-    A path is a folder of part files; single gives one file, for exports that fit one task. Metadata is kept
+    A path is a folder of part files; single joins these to one file once they are written. Metadata is kept
     by JDBC alone.
     """
     if mode not in ("w", "a"):
@@ -146,36 +147,58 @@ def write_jsonl(df: DataFrame, uri: str, mode: str = "w", compression: str = "in
     return WriteResult(place.shown, got["n"], got["bytes"], name)
 
 
+def _replace(spark: SparkSession, staged: str, final: str) -> None:
+    """Puts what is staged in the place of what is there. What was there stays until the new one has its name, or
+    comes back: a file is replaced at once where the file system can, else the old one steps aside meanwhile."""
+    fs, new = _fs(spark, staged)
+    old = _fs(spark, final)[1]
+    if fs.exists(old) and fs.getFileStatus(old).isFile() and fs.getFileStatus(new).isFile():
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        how = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        how[0] = hadoop.Options.Rename.OVERWRITE
+        try:
+            hadoop.FileContext.getFileContext(new.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(new, old, how)
+            return
+        except Py4JJavaError:  # no such file context for this scheme, or none that replaces
+            if not fs.exists(new):
+                raise
+    aside = _fs(spark, f"{final.rstrip('/')}.{uuid.uuid4().hex}.old")[1] if fs.exists(old) else None
+    if aside is not None and not fs.rename(old, aside):
+        raise StorageError(f"{final} can't be moved aside")
+    if not fs.rename(new, old):
+        if aside is not None:
+            fs.rename(aside, old)
+        raise StorageError(f"{staged} can't be renamed to {final}")
+    if aside is not None:
+        fs.delete(aside, True)
+
+
+def _joined(spark: SparkSession, parts: list, into: str) -> None:
+    """Files one after another; gzip members may follow one another."""
+    fs, whole = _fs(spark, into)
+    out = fs.create(whole)
+    for p in parts:
+        source = fs.open(p)
+        spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+        source.close()
+    out.close()
+
+
 def _write_text(df: DataFrame, path: str, mode: str, codec: str, single: bool) -> None:
     spark = df.sparkSession
     fs, final = _fs(spark, path)
-    if not single:
-        if mode == "a":
-            df.write.mode("append").text(path, compression=codec)
-            return
-        staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
-        df.write.text(staged, compression=codec)
-        fs.delete(final, True)
-        fs.rename(_fs(spark, staged)[1], final)
+    if not single and mode == "a":
+        df.write.mode("append").text(path, compression=codec)
         return
-    staged = f"{path}.{uuid.uuid4().hex}.tmp"
-    df.coalesce(1).write.text(staged, compression=codec)
-    parts = [s.getPath() for s in fs.listStatus(_fs(spark, staged)[1]) if s.getPath().getName().startswith("part-")]
+    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
     try:
-        if mode == "a" and fs.exists(final):
-            whole = _fs(spark, f"{staged}-joined")[1]
-            out = fs.create(whole)
-            for p in [final, *parts]:  # gzip members may follow one another
-                source = fs.open(p)
-                spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 65536, False)
-                source.close()
-            out.close()
-            parts = [whole]
-        fs.delete(final, True)
-        if parts:
-            fs.rename(parts[0], final)
-        else:
-            fs.create(final).close()
+        df.write.text(staged, compression=codec)  # by all tasks, also for one file
+        if not single:
+            _replace(spark, staged, path)
+            return
+        parts = sorted((s.getPath() for s in fs.listStatus(_fs(spark, staged)[1]) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+        _joined(spark, [*([final] if mode == "a" and fs.exists(final) else []), *parts], f"{staged}/joined")
+        _replace(spark, f"{staged}/joined", path)
     finally:
         fs.delete(_fs(spark, staged)[1], True)
 

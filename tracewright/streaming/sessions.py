@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -66,25 +66,28 @@ def _processor(idle_ms: int):
             text = "[" + ",".join(p for _, p in sorted(parts)) + "]"
             return pd.DataFrame({"session": [key[0]], "segment": [n], "parts": [text], "complete": [complete]})
 
+        def _held(self) -> list[tuple[int, str]]:
+            return [(r[0], r[1]) for r in self.parts.get()] if self.parts.exists() else []
+
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            held = [(r[0], r[1]) for r in self.parts.get()] if self.parts.exists() else []
+            fresh, ended = [], False
             for pdf in rows:
                 for seq, part, end in sorted(pdf[["seq", "part", "end"]].itertuples(index=False, name=None)):
-                    held.append((int(seq), part))
+                    fresh.append((int(seq), part))
                     if end:
-                        yield self._out(key, held, True)
-                        held = []
+                        yield self._out(key, fresh if ended else self._held() + fresh, True)
+                        fresh, ended = [], True
+            if ended:
+                self.parts.clear()
+            if fresh:  # what was there before is neither read nor written again
+                self.parts.appendList(fresh)
             for t in list(self.handle.listTimers()) if idle_ms else ():
                 self.handle.deleteTimer(t)
-            if held:
-                self.parts.put(held)
-                if idle_ms:
-                    self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + idle_ms)
-            else:
-                self.parts.clear()
+            if idle_ms and self.parts.exists():
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + idle_ms)
 
         def handleExpiredTimer(self, key, timerValues, expired) -> Iterator[pd.DataFrame]:
-            held = [(r[0], r[1]) for r in self.parts.get()] if self.parts.exists() else []
+            held = self._held()
             if held:
                 self.parts.clear()
                 yield self._out(key, held, False)
@@ -105,6 +108,15 @@ def merge_stream(events: DataFrame, idle_ms: int = 0) -> DataFrame:
     return out.select("session", "segment", merged(parts).alias("messages"), "complete")
 
 
+def pending(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(session, messages, complete) of the sessions that a stopped merge_stream query has not given out, from its
+    checkpoint: what there is to flush when no more will come. It changes nothing; a query that goes on has them."""
+    rows = spark.read.format("statestore").option("stateVarName", "parts").load(checkpoint)
+    parts = F.array_sort(F.collect_list(F.struct("seq", "part")))
+    held = rows.select("key.session", "list_element.seq", "list_element.part").groupBy("session").agg(F.transform(parts, lambda x: F.from_json(x["part"], MESSAGES)).alias("parts"))
+    return held.select("session", merged(F.col("parts")).alias("messages"), F.lit(False).alias("complete"))
+
+
 def without_chunks(events: DataFrame, kind: str = "event_type", include: bool = False) -> DataFrame:
     """Events less the pieces of streamed answers."""
     return events if include else events.where(~F.lower(kind).contains("chunk"))
