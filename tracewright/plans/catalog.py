@@ -217,6 +217,225 @@ def crewai_session_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", key.alias("session"), F.when(F.col("text") != "", "tool").alias("kind"))
 
 
+# tool turns
+
+
+def _tool_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with calls put in: after a user turn two, whose results come the other way round and name
+    no id, the second not even a tool; after an assistant turn one without an id."""
+    of = lambda m, i: F.concat(F.lit('{"n":'), i.cast("string"), F.lit("}"))
+    role = lambda r, content=F.lit(""), **more: conv.message(F.lit(r), content, **more)
+
+    def turns(m: Column, i: Column) -> Column:
+        find = role("tool_call", tool_call_id=F.concat(F.lit("a"), i.cast("string")), tool_name=F.lit("find"), tool_args=of(m, i))
+        look = role("tool_call", tool_call_id=F.concat(F.lit("b"), i.cast("string")), tool_name=F.lit("look"), tool_args=of(m, i))
+        asked = F.array(m, find, look, role("tool_response", F.lit("unused"), tool_name=F.lit("look"), tool_result=F.lit("seen")), role("tool_response", m["content"]))
+        told = F.array(m, role("tool_call", tool_name=F.lit("say")), role("tool_response", F.lit("ok"), tool_name=F.lit("say")))
+        return F.when(m["role"] == "user", asked).when(m["role"] == "assistant", told).otherwise(F.array(m))
+
+    return _chats(spark, sf_dir).withColumn("messages", F.flatten(F.transform("messages", turns)))
+
+
+def _tool_format(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        keyed = {"key": F.col("conv_id")} if name != "sharegpt" else {}
+        return formats.formatted(_tool_chats(spark, sf_dir), name, **keyed).select("conv_id", "value")
+
+    return run
+
+
+def _call_sql(id_: str, name: str, args: str) -> str:
+    return f"json_object('id', {id_}, 'type', 'function', 'function', json_object('name', '{name}', 'arguments', {args}))"
+
+
+_TOOL_CHAT_SQL = f"""
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, CASE role WHEN 'user' THEN 5 WHEN 'assistant' THEN 3 ELSE 1 END AS wide FROM conversations),
+g AS (SELECT *, '{{"n":' || i || '}}' AS args, 'call_' || substr(sha256(conv_id || ':' || (sum(wide) OVER (PARTITION BY conv_id ORDER BY turn) - wide + 1)), 1, 8) AS made FROM n),
+t AS (SELECT conv_id, turn, CASE role
+  WHEN 'user' THEN [json_object('role', role, 'content', text),
+    json_object('role', 'assistant', 'content', '', 'tool_calls', [{_call_sql("'a' || i", 'find', 'args')}, {_call_sql("'b' || i", 'look', 'args')}]),
+    json_object('role', 'tool', 'content', 'seen', 'tool_call_id', 'b' || i), json_object('role', 'tool', 'content', text, 'tool_call_id', 'a' || i)]
+  WHEN 'assistant' THEN [json_object('role', role, 'content', CASE WHEN {_BLANK} THEN text ELSE '' END, 'tool_calls', [{_call_sql('made', 'say', "'{}'")}]),
+    json_object('role', 'tool', 'content', 'ok', 'tool_call_id', made)]
+  ELSE [json_object('role', role, 'content', text)] END AS m,
+  CASE role WHEN 'user' THEN ['', '', '', ''] WHEN 'assistant' THEN [CASE WHEN {_BLANK} THEN 'told' ELSE '' END, ''] ELSE [''] END AS said FROM g),
+chat AS (SELECT conv_id, flatten(list(m ORDER BY turn)) AS m, flatten(list(said ORDER BY turn)) AS said FROM t GROUP BY conv_id)"""
+_query(_TOOL_CHAT_SQL + " SELECT conv_id, CAST(json_object('messages', m) AS VARCHAR) AS value FROM chat", "fmt_openai_chat_tools")(_tool_format("openai_chat"))
+_query(
+    _TOOL_CHAT_SQL
+    + """, k AS (SELECT *, CASE WHEN list_contains(said, 'told') THEN len(said) - list_position(list_reverse(said), 'told') + 1 END AS pos FROM chat),
+j AS (SELECT conv_id, [json_object('role', 'assistant', 'content', '')] AS no, CASE WHEN pos IS NULL THEN m ELSE m[1:pos - 1] END AS p, CASE WHEN pos IS NULL THEN m[1:0] ELSE m[pos:pos] END AS c FROM k)
+SELECT conv_id, CAST(json_object('prompt', p, 'chosen', c, 'rejected', no) AS VARCHAR) AS value FROM j""",
+    "fmt_preference_tools",
+)(_tool_format("preference"))
+
+
+def _shared_call_sql(name: str, args: str) -> str:
+    return f"""json_object('from', 'function_call', 'value', '{{"name": "{name}", "arguments": ' || {args} || '}}')"""
+
+
+_query(f"""
+WITH n AS (SELECT *, '{{"n":' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) || '}}' AS args FROM conversations),
+t AS (SELECT conv_id, turn, role, text, CASE role
+  WHEN 'user' THEN [json_object('from', 'human', 'value', text), {_shared_call_sql('find', 'args')}, {_shared_call_sql('look', 'args')},
+    json_object('from', 'observation', 'value', 'seen'), json_object('from', 'observation', 'value', text)]
+  WHEN 'assistant' THEN CASE WHEN {_BLANK} THEN [json_object('from', 'gpt', 'value', text)] ELSE [] END
+    || [{_shared_call_sql('say', "'{}'")}, json_object('from', 'observation', 'value', 'ok')] ELSE [] END AS c FROM n),
+s AS (SELECT conv_id, flatten(list(c ORDER BY turn)) AS c, arg_min(text, turn) FILTER (role = 'system' AND text <> '') AS s FROM t GROUP BY conv_id)
+SELECT conv_id, CAST(CASE WHEN s IS NULL THEN json_object('conversations', c) ELSE json_object('conversations', c, 'system', s) END AS VARCHAR) AS value FROM s""", "fmt_sharegpt_tools")(_tool_format("sharegpt"))
+
+# converters with tool calls, and those that take a record of few fields
+
+
+def _q(c: Column | str) -> Column:
+    """A JSON string."""
+    return formats._quoted(c if isinstance(c, Column) else F.lit(c))
+
+
+def _turn_records(spark: SparkSession, sf_dir: str, head: str, each: Callable[[Column, Column, Column], list[Column | str]], tail: str) -> DataFrame:
+    """(conv_id, raw): head, then each(role, text, number) of every turn, separated by commas, then tail. The text
+    of a turn has its number before it, so that no two are alike."""
+    part = lambda m, i: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in each(m["role"], F.concat(F.lit("t"), i.cast("string"), F.lit(":"), m["content"]), i.cast("string"))))
+    return _chats(spark, sf_dir).select("conv_id", F.concat(F.lit(head), F.array_join(F.transform("messages", part), ","), F.lit(tail)).alias("raw"))
+
+
+def _turn_query(query: str, source: str, head: str, each: Callable[[Column, Column, Column], list[Column | str]], tail: str, rows: str, made_ids: bool = False) -> None:
+    """With ``made_ids`` a call id that isn't null shows as 'made'. rows: SQL of what becomes of a turn, a list of structs (role, content, tool_name, tool_call_id, tool_args) from
+    role, t (the text with its number), n (the number) and size (the number of turns)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        id_ = F.when(F.col("m.tool_call_id").isNotNull(), "made") if made_ids else F.col("m.tool_call_id")
+        raw = _turn_records(spark, sf_dir, head, each, tail).select(F.lit(source).alias("source"), F.lit("t").alias("file"), F.col("conv_id").alias("pos"), "raw")
+        made = adapters.normalized(raw, source)
+        key = F.split_part("rec_key", F.lit(":"), F.lit(2)).cast("bigint").alias("conv_id")
+        flat = made.select(key, "error", F.posexplode_outer("messages").alias("seq", "m"))
+        return flat.select("conv_id", "error", F.col("seq").cast("bigint").alias("seq"), "m.role", "m.content", "m.tool_name", id_.alias("tool_call_id"), "m.tool_args")
+
+    _query(f"""
+WITH c AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, count(*) OVER (PARTITION BY conv_id) AS size, text FROM conversations),
+x AS (SELECT *, 't' || n || ':' || text AS t FROM c),
+l AS (SELECT conv_id, flatten(list({rows} ORDER BY n)) AS m FROM x GROUP BY conv_id),
+y AS (SELECT conv_id, m, unnest(range(1, len(m) + 1)) AS k FROM l)
+SELECT conv_id, CAST(NULL AS VARCHAR) AS error, k - 1 AS seq, m[k].role AS role, m[k].content AS content, m[k].tool_name AS tool_name, m[k].tool_call_id AS tool_call_id, m[k].tool_args AS tool_args FROM y""", query)(run)
+
+
+def _row(role: str, content: str, name: str = "NULL", id_: str = "NULL", args: str = "NULL") -> str:
+    return f"{{'role': {role}, 'content': {content}, 'tool_name': CAST({name} AS VARCHAR), 'tool_call_id': CAST({id_} AS VARCHAR), 'tool_args': CAST({args} AS VARCHAR)}}"
+
+
+_ARGS = """'{"n": ' || n || '}'"""
+_CALLED = """'{"tool_name": "f", "tool_args": {"n": ' || n || '}}'"""
+_CALL_ROWS = f"{_row("'tool_call'", _CALLED, "'f'", "'c' || n", _ARGS)}, {_row("'tool_response'", "'r' || n", "'f'", "'c' || n")}"
+_call_json = lambda n: ['{"id":"c', n, '","type":"function","function":{"name":"f","arguments":"{\\"n\\": ', n, '}"}}']
+_turn_query(
+    "adapt_agno_tools", "agno", '{"run_id":"r","messages":[',
+    lambda role, t, n: ['{"role":', _q(role), ',"content":', _q(t), '},{"role":"assistant","content":"","tool_calls":[', *_call_json(n), ']},{"role":"tool","content":"r', n, '","tool_call_id":"c', n, '","name":"f"}'],
+    '],"tools":[{"tool_name":"apart","tool_args":{},"result":"no"}]}', f"[{_row('role', 't')}, {_row("'assistant'", "''")}, {_CALL_ROWS}]",
+)
+_turn_query(
+    "adapt_agno_tools_apart", "agno", '{"run_id":"r","messages":[{"role":"user","content":"first"},{"role":"assistant","content":"last"}],"tools":[',
+    lambda role, t, n: ['{"tool_name":"f","tool_args":{"n": ', n, '},"result":', _q(t), "}"],
+    "]}", f"CASE WHEN n = 0 THEN [{_row("'user'", "'first'")}] ELSE [] END || [{_row("'tool_call'", _CALLED, "'f'", args=_ARGS)}, {_row("'tool_response'", 't', "'f'")}] || CASE WHEN n = size - 1 THEN [{_row("'assistant'", "'last'")}] ELSE [] END",
+)
+_turn_query(
+    "adapt_agno_events", "agno_events", '{"events":[',
+    lambda role, t, n: ['{"event":"RunChunk","message":{"content":"c"}},{"event":"ToolDone","tool_name":"f","args":{"n": ', n, '},"result":"r', n, '"},{"event":"RunCompleted","content":', _q(t), "}"],
+    "]}", f"[{_row("'tool_call'", _CALLED, "'f'", args=_ARGS)}, {_row("'tool_response'", "'r' || n", "'f'")}, {_row("'assistant'", 't')}]",
+)
+_turn_query(
+    "adapt_autogen_tools", "autogen", '{"stop_reason":"done","messages":[',
+    lambda role, t, n: ['{"source":', _q(role), ',"content":', _q(t), '},{"type":"ToolCallRequestEvent","source":"b","content":[{"id":"c', n, '","name":"f","arguments":"{\\"n\\": ', n, '}"}]},{"type":"ToolCallExecutionEvent","content":[{"call_id":"c', n, '","name":"f","content":{"content":"r', n, '"}}]}'],
+    "]}", f"[{_row('role', 't')}, {_CALL_ROWS}]",
+)
+_turn_query(
+    "adapt_autogen_stream", "autogen", '{"events":[',
+    lambda role, t, n: ['{"type":"TextMessage","source":', _q(role), ',"content":', _q(t), '},{"type":"Usage","content":', n, "}"],
+    "]}", f"[{_row('role', 't')}]",
+)
+_turn_query(
+    "adapt_atomic_tools", "atomic_agents", '{"user_message":"u","system":"s","final_answer":"z","tool_calls":[',
+    lambda role, t, n: ['{"name":"f","args":{"n": ', n, '},"result":{"text":', _q(t), "}}"],
+    "]}", f"CASE WHEN n = 0 THEN [{_row("'system'", "'s'")}, {_row("'user'", "'u'")}] ELSE [] END || [{_row("'tool_call'", "''", "'f'", "'made'", _ARGS)}, {_row("'tool_response'", 't', "'f'", "'made'")}] || CASE WHEN n = size - 1 THEN [{_row("'assistant'", "'z'")}] ELSE [] END", made_ids=True,
+)
+_turn_query(
+    "adapt_pydantic_tools", "pydantic_ai", '{"messages":[',
+    lambda role, t, n: ['{"model_name":"m","parts":[{"part_kind":"user-prompt","content":', _q(t), '},{"part_kind":"tool-call","tool_name":"f","tool_call_id":"c', n, '","args":"{\\"n\\": ', n, '}"},{"part_kind":"tool-return","tool_name":"f","tool_call_id":"c', n, '","content":"r', n, '"},{"part_kind":"retry-prompt","tool_name":"f","tool_call_id":"c', n, '","content":"again"},{"part_kind":"retry-prompt","content":"more"},{"part_kind":"thinking","content":"no"}]}'],
+    "]}", f"[{_row("'user'", 't')}, {_row("'tool_call'", "''", "'f'", "'c' || n", _ARGS)}, {_row("'tool_response'", "'r' || n", "'f'", "'c' || n")}, {_row("'tool_response'", "'again'", "'f'", "'c' || n")}, {_row("'user'", "'more'")}]",
+)
+_turn_query(
+    "adapt_otel_tools", "opentelemetry", '{"trace_id":"x","spans":[',
+    lambda role, t, n: ['{"attributes":{"openinference.span.kind":"TOOL","tool.name":"f","input.value":"{\\"n\\": ', n, '}","output.value":', _q(t), "}}"],
+    "]}", f"[{_row("'user'", _ARGS)}, {_row("'assistant'", 't')}, {_row("'tool_call'", _CALLED, "'f'", args=_ARGS)}, {_row("'tool_response'", 't', "'f'")}]",
+)
+_turn_query(
+    "adapt_agentops_events", "agentops_events", '{"events":[',
+    lambda role, t, n: ['{"input":', _q(t), ',"output":"w', n, '"}'],
+    "]}", f"[{_row("'user'", 't')}, {_row("'assistant'", "'w' || n")}]",
+)
+
+_ONE = {
+    "adapt_crewai_kickoff": ("crewai", lambda a, z: ['{"kickoff_output":{"raw":', z, ',"tasks_output":[{"a":1}]}}'], [("assistant", "z")]),
+    "adapt_crewai_event": ("crewai", lambda a, z: ['{"event":{"event_type":"CrewKickoff","input":', a, ',"output":', z, "}}"], [("user", "a"), ("assistant", "z")]),
+    "adapt_agno_trace": ("agno", lambda a, z: ['{"trace":{"id":"t","spans":[{"attributes":{"input.value":', a, ',"output.value":', z, "}}]}}"], [("user", "a"), ("assistant", "z")]),
+    "adapt_atomic_response": ("atomic_agents", lambda a, z: ['{"input":', a, ',"response":{"answer":', z, "}}"], [("user", "a"), ("assistant", "z")]),
+    "adapt_atomic_log": ("atomic_agents", lambda a, z: ['{"event_type":"run","output":', z, "}"], [("assistant", "z")]),
+}
+
+
+def _one(query: str, source: str, each: Callable, rows: list[tuple[str, str]]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = lambda i: _q(F.concat(F.lit("t:"), F.element_at("messages", i)["content"]))
+        raw = F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in each(text(1), text(-1))))
+        return _converted(_chats(spark, sf_dir).select("conv_id", raw.alias("raw")), source)
+
+    sql = " UNION ALL ".join(f"SELECT conv_id, CAST({k} AS BIGINT) AS seq, '{role}' AS role, 't:' || {which} AS content FROM c" for k, (role, which) in enumerate(rows))
+    _query(f"WITH c AS (SELECT conv_id, arg_min(text, turn) AS a, arg_max(text, turn) AS z FROM conversations GROUP BY conv_id) {sql}", query)(run)
+
+
+for _name, _what in _ONE.items():
+    _one(_name, *_what)
+
+# records that are wrong, T standing for a text
+_BAD: list[tuple[str, str, str]] = [
+    ("openai_chat", '{"messages":[{"role":"user","content":T}]}', ""),
+    ("openai_chat", '{"messages":[T,{"role":7,"content":T}]}', "openai_chat: message[0] is not an object; openai_chat: message[1] has invalid role 7"),
+    ("openai_chat", '{"messages":[{"role":"assistant","content":T,"tool_calls":[3,{"id":"","type":"f","function":{"name":"f","arguments":"{}"}},{"id":"a","type":"function","function":{}},{"id":"b","type":"function","function":{"name":"f","arguments":"{"}}]}]}',
+     "openai_chat: message[0].tool_calls[0] is not an object; openai_chat: message[0].tool_calls[1] missing type='function'; openai_chat: message[0].tool_calls[1] missing string 'id'; openai_chat: message[0].tool_calls[2].function missing 'name'; openai_chat: message[0].tool_calls[3].function.arguments is not a JSON string"),
+    ("openai_chat", '{"messages":[{"role":"assistant","content":T,"tool_calls":[{"id":"a","type":"function","function":{"name":"f","arguments":"{}"}}]},{"role":"tool","tool_call_id":"a","content":T},{"role":"tool","content":[T]}]}',
+     "openai_chat: message[2] (tool) missing 'tool_call_id'; openai_chat: message[2] (tool) content must be a string"),
+    ("openai_chat", "[T]", "openai_chat: record must be an object"),
+    ("openai_chat", '{"messages":T', "openai_chat: record is not JSON"),
+    ("sharegpt", '{"conversations":[{"from":"human","value":T}],"system":T}', ""),
+    ("sharegpt", '{"conversations":[],"a":T}', "sharegpt: 'conversations' must be a non-empty list"),
+    ("sharegpt", '{"conversations":[{"from":"nobody","value":T},{"from":"system","value":T},{"from":"gpt","value":1},T,{"from":"function_call","value":"{}"}],"system":1}',
+     "sharegpt: top-level 'system' must be a string; sharegpt: conversations[0] has invalid 'from' 'nobody'; sharegpt: conversations[1] uses 'system' turn; system belongs in the top-level key; sharegpt: conversations[2] 'value' must be a string; sharegpt: conversations[3] is not an object; sharegpt: conversations[4] function_call value must be JSON with a 'name'"),
+    ("alpaca", '{"instruction":T,"input":"","output":T,"history":[[T,T]]}', ""),
+    ("alpaca", '{"instruction":1,"output":T,"system":2,"history":[[T],[T,1]]}', "alpaca: 'instruction' must be a string; alpaca: missing required key 'input'; alpaca: optional 'system' must be a string; alpaca: history[0] must be a [user, assistant] string pair; alpaca: history[1] must be a [user, assistant] string pair"),
+    ("alpaca", '{"instruction":T,"input":T,"output":T,"history":T}', "alpaca: optional 'history' must be a list"),
+    ("prompt_completion", '{"prompt":T,"completion":""}', ""),
+    ("prompt_completion", '{"prompt":[T]}', "prompt_completion: 'prompt' must be a string; prompt_completion: missing required key 'completion'"),
+    ("preference", '{"prompt":[],"chosen":[{"role":"assistant","content":T}],"rejected":[]}', ""),
+    ("preference", '{"prompt":T,"chosen":[{"role":"assistant"},T]}', "preference: 'prompt' must be a list of message objects; preference: missing required key 'rejected'; preference: chosen[0] must be a message object with role/content; preference: chosen[1] must be a message object with role/content"),
+]
+
+
+def _bad_query(name: str) -> None:
+    own = [(raw, issues) for n, raw, issues in _BAD if n == name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _table(spark, sf_dir, "conversations").withColumn("k", F.col("turn") % len(own))
+        value = F.replace(F.get(F.array(*(F.lit(raw) for raw, _ in own)), F.col("k").cast("int")), F.lit("T"), _q(F.col("text")))
+        judged = validate.judged(rows.select("conv_id", "turn", value.alias("value")), name)
+        return judged.select("conv_id", "turn", F.md5("value").alias("record"), F.array_join("issues", "; ").alias("issues"))
+
+    lists = ", ".join("'" + raw.replace("'", "''") + "'" for raw, _ in own), ", ".join("'" + i.replace("'", "''") + "'" for _, i in own)
+    _query(f"SELECT conv_id, turn, md5(replace(([{lists[0]}])[turn % {len(own)} + 1], 'T', CAST(to_json(text) AS VARCHAR))) AS record, ([{lists[1]}])[turn % {len(own)} + 1] AS issues FROM conversations", f"validate_{name}_bad")(run)
+
+
+for _name in validate.CHECKS:
+    _bad_query(_name)
+
+
 # roles and JSON
 
 _ALIASES = "(VALUES ('human','user'),('ai','assistant'),('bot','assistant'),('gpt','assistant'),('function_call','tool_call'),('function','tool_response'),('observation','tool_response'),('tool','tool_response'),('system','system'),('user','user'),('assistant','assistant'),('tool_call','tool_call'),('tool_response','tool_response')) AS a(name, role)"
