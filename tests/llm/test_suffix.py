@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracewright.llm import suffix
@@ -60,12 +61,13 @@ def corpus(seed, n=120, vocabulary=2000):
     return docs
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "filter_bytes"), [(1, suffix.FILTER_BYTES), (2, suffix.FILTER_BYTES), (2, 0)])
+def test_equals_brute_force(spark, seed, filter_bytes, monkeypatch):
     monkeypatch.setattr(suffix, "BUCKET", 20_000)  # several buckets
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    assert covered(suffix.repeats(df, length=12, window=8)) == brute(docs, 12)
+    monkeypatch.setattr(suffix, "BLOB", 200)  # and blobs of growing size
+    assert covered(suffix.repeats(df, length=12, window=8, filter_bytes=filter_bytes)) == brute(docs, 12)
 
 
 def test_nulls_clashes_and_empty(spark):
@@ -92,3 +94,18 @@ def test_anchors_hold_every_window():
     for a in range(400 - 30 + 1):
         if doc[a] == doc[a + 29]:
             assert ((at >= a) & (at <= a + 10)).any()
+
+
+def test_filters_miss_nothing_and_pass_little():
+    rng = np.random.default_rng(2)
+    w = rng.integers(1, 1 << 63, 20_000).astype(np.uint64)
+    twice, once = w[:6000], w[6000:]
+    rows = []
+    for key in range(8):
+        own = np.concatenate([twice, twice, once])
+        own = own[suffix.mix(own.copy()) % np.uint64(8) == key]
+        table = pa.table({"key": [key], "data": pa.array([suffix._pack(own)], pa.binary())})
+        rows.append(suffix._filter((pa.scalar(key),), table))
+    known = suffix.Repeated(8, pa.concat_tables(rows))
+    assert known.has(twice).all() and known.has(once).mean() < 0.05
+    assert not suffix.Repeated(8, pa.table({"key": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})).has(w).any()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,13 +46,30 @@ def _at_exit(spark: SparkSession, path: str) -> None:
             return
 
 
+#: Rows of an Arrow batch while a table is written; a task holds some batches on either side, and texts can be long.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """At most BATCH_ROWS rows in an Arrow batch of what is run within."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_ROWS if int(before) <= 0 else min(BATCH_ROWS, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 class Spooled:
     """A DataFrame written once to the shared folder, so that its lineage ends there."""
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.path = f"{spool_dir(self.spark)}/tw-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with small_batches(self.spark):
+            df.write.parquet(self.path)
         atexit.register(_at_exit, self.spark, self.path)
         self.schema = df.schema
 
@@ -79,3 +98,16 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
 def column(df: DataFrame, name: str) -> Column:
     """A top-level column whatever dots its name holds."""
     return df["`" + name.replace("`", "``") + "`"]
+
+
+def number(df: DataFrame, name: str) -> Column:
+    """An id: a whole number, or text that spells one. Anything else counts as a null id."""
+    return column(df, name).try_cast("long")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case of letters."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name

@@ -6,6 +6,7 @@ mix; two different words or windows share one with a chance of about 2**-64 a pa
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,9 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text that a block of whole documents holds, unless one document is longer.
-BLOCK = 2_000_000
+BLOCK = 500_000
+#: Entries of the tables of powers that a worker keeps from one batch to the next.
+KEPT = 1 << 20
 #: Rows of a batch that are taken at once.
 ROWS = 512
 _R = 0x9E3779B97F4A7C15
@@ -79,12 +82,25 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def frugal(bytes_: int = 1 << 20) -> None:
+    """Lets this worker give the memory of arrays beyond ``bytes_`` back as soon as they are freed. Workers are
+    many and idle ones keep what they have; by default that is the most that they ever needed."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, bytes_)  # beyond it arrays are mapped, so that freeing unmaps them
+        libc.mallopt(-1, 2 * bytes_)  # and so much may stay free at the end of the heap
+    except (OSError, AttributeError):  # another C library: more memory, nothing else
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def batch_blocks(batches, text: str, lower: bool = False, size: int = BLOCK):
     """(record batch, its first row, row after its last, bytes, offsets) for each block.
 
-    A batch is taken ROWS rows at a time, so that only these are copied, and what Arrow keeps of a finished
-    batch goes back.
+    A batch is taken ROWS rows at a time, so that only these are copied, and what is kept for hashing long
+    texts goes after it.
     """
+    frugal()
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             col = batch.column(text).slice(at, ROWS)
@@ -93,7 +109,8 @@ def batch_blocks(batches, text: str, lower: bool = False, size: int = BLOCK):
             data, offsets = buffers(col)
             for i, j in blocks(offsets, size):
                 yield batch, at + i, at + j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        pa.default_memory_pool().release_unused()
+        for base in [b for b, t in _powers.items() if len(t[0]) > KEPT]:
+            del _powers[base]
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = SPACE):

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spooled, column, hinted
-from .kernels import NOT_ALNUM, U, batch_blocks, mix, owner, windows, within, words
+from .common import Spooled, column, hinted, number
+from .kernels import NOT_ALNUM, U, batch_blocks, frugal, mix, owner, windows, within, words
 
 SHINGLE = 2
 BANDS = 16
@@ -139,6 +139,7 @@ def _packed(batches):
 
 
 def _compared(batches):
+    frugal()
     last, bag = None, None
     for batch in batches:
         sims = []
@@ -182,7 +183,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, duplicate_of): each document that goes, and the one of its group that stays."""
-    src = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).alias("text")).where("id is not null and text is not null")
+    src = docs.select(number(docs, id_col).alias("id"), column(docs, text_col).alias("text")).where("id is not null and text is not null")
     signed = Spooled(src.mapInArrow(_signed, "id long, whole long, bands array<long>"))
     one = signed.df.groupBy("id").agg(F.min_by("bands", "whole").alias("bands"), F.min("whole").alias("whole"))
     same = Spooled(one.select("id", "whole").withColumn("root", F.expr("min(id) over (partition by whole)")).where("root <> id").select("id", "root"))

@@ -11,7 +11,9 @@ document, then least position) are repeats.
 
 Before sorting, what can't repeat is left out, exactly: any ``LENGTH`` words hold the least of their
 ``WINDOW``-word windows (by hash); only where such a window occurs twice in the corpus can a passage
-repeat, so the string is made of the stretches around these. Of documents with the same text one goes
+repeat, so the string is made of the stretches around these. Bloom filters say which windows those are: what
+passes them by chance is sorted for nothing, and nothing is missed. They go to every task up to
+``FILTER_BYTES``; larger ones are replaced by a join of the windows' places with their documents. Of documents with the same text one goes
 into the string; the others are repeats as a whole.
 
 Letters travel packed: a row is all that one task has for one bucket, as a binary array, so that sorting
@@ -35,14 +37,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spooled, column, hinted
-from .kernels import SPACE, U, batch_blocks, buffers, mix, windows, words
+from .common import BROADCAST_ROWS, Spooled, column, fresh, hinted, number
+from .kernels import SPACE, U, batch_blocks, buffers, frugal, mix, spans, windows, words
 
 LENGTH = 51
 WINDOW = 34
 #: Words of a blob and bytes of a bucket, about.
 BLOB = 1 << 18
 BUCKET = 24_000_000
+#: Bits of a filter for each window hash that occurs twice, and bytes of all filters up to which every task gets them.
+FILTER_BITS = 12
+FILTER_BYTES = 64_000_000
 _LOW = U((1 << 32) - 1)
 _PACKED = "key long, data binary"
 _TOP = U((1 << 64) - 1)
@@ -53,6 +58,7 @@ def _pack(*cols: np.ndarray) -> bytes:
 
 
 def _unpack(table: pa.Table | pa.RecordBatch, n: int) -> np.ndarray:
+    frugal()
     return np.concatenate([np.frombuffer(raw.as_buffer(), U).reshape(n, -1) for raw in table.column("data")], axis=1)
 
 
@@ -121,34 +127,103 @@ def _by_document(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(out.columns, names=["id", "anchors"])
 
 
-def _stretches(length: int, window: int):
-    """(id, start, words): the stretches of a document that its repeated windows leave open."""
+def _distinct_anchors(buckets: int, length: int, window: int):
+    """Hashes of a block's anchors by bucket, each once, or twice if it occurs again in the block."""
+
+    def run(batches):
+        for _, i, j, data, offsets in batch_blocks(batches, "text"):
+            _, _, first, h = words(data, offsets, SPACE)
+            w, n = np.unique(anchors(h, np.repeat(np.arange(j - i), np.diff(first)), length, window)[1], return_counts=True)
+            w = np.concatenate([w, w[n > 1]])
+            yield _rows(mix(w.copy()) % U(buckets), w)
+
+    return run
+
+
+_STEPS = tuple(U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+
+def _places(w: np.ndarray, bits: np.ndarray | int):
+    """Where a filter of 2**bits bits marks each hash."""
+    return [mix(w * step) >> (U(64) - U(1) * np.asarray(bits).astype(U)) for step in _STEPS]
+
+
+def _filter(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """A bucket's Bloom filter of the hashes that occur twice: FILTER_BITS bits or more for each."""
+    w = np.sort(_unpack(table, 1)[0])
+    w = np.unique(w[1:][w[1:] == w[:-1]])
+    size = max(6, int(len(w) * FILTER_BITS).bit_length())
+    marked = np.zeros(1 << size, bool)
+    for at in _places(w, size):
+        marked[at] = True
+    return pa.table({"key": pa.array([key[0].as_py()]), "data": pa.array([np.packbits(marked, bitorder="little").tobytes() if len(w) else b""], pa.binary())})
+
+
+class Repeated:
+    """Filters of all buckets: which window hashes may occur twice. Some others pass too; sorting leaves them out."""
+
+    def __init__(self, buckets: int, rows: pa.Table):
+        self.size = np.zeros(buckets, np.int64)
+        self.base = np.zeros(buckets, np.int64)
+        parts, done = [np.zeros(1, np.uint8)], 1
+        for key, raw in zip(rows.column("key").to_pylist(), rows.column("data"), strict=True):
+            part = np.frombuffer(raw.as_buffer(), np.uint8)
+            self.size[key], self.base[key] = (len(part) * 8).bit_length() - 1 if len(part) else 0, done
+            parts.append(part)
+            done += len(part)
+        self.bits = np.concatenate(parts)
+
+    def has(self, w: np.ndarray) -> np.ndarray:
+        bucket = (mix(w.copy()) % U(len(self.size))).astype(np.int64)
+        size, base = self.size[bucket], self.base[bucket]
+        ok = size > 0
+        for at in _places(w, np.maximum(size, 6)):
+            at = at.astype(np.int64)
+            ok[ok] = self.bits[base[ok] + (at[ok] >> 3)] >> (at[ok] & 7).astype(np.uint8) & 1 > 0
+        return ok
+
+
+def _open_words(at: np.ndarray, doc: np.ndarray, first: np.ndarray, length: int, window: int):
+    """(document, first word, word after the last) of the stretches that windows at the words ``at`` leave open."""
+    n = int(first[-1])
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, np.maximum(at - (length - window), first[doc]), 1)
+    np.add.at(edge, np.minimum(at + length, first[doc + 1]), -1)
+    on = np.cumsum(edge[:-1]) > 0
+    begins = np.zeros(n + 1, bool)
+    begins[first] = True  # a stretch ends with its document
+    start = np.flatnonzero(on & (begins[:-1] | ~np.append(False, on[:-1])))
+    end = np.flatnonzero(on & (begins[1:] | ~np.append(on[1:], False))) + 1
+    long = end - start >= length
+    return np.searchsorted(first, start[long], side="right") - 1, start[long], end[long]
+
+
+def _stretches(length: int, window: int, shared=None):
+    """(id, start, words): the stretches of a document that its repeated windows leave open; these are found by the
+    filters, or are in the column ``anchors``."""
 
     def run(batches):
         for batch, i, j, data, offsets in batch_blocks(batches, "text"):
             _, _, first, h = words(data, offsets, SPACE)
+            doc = np.repeat(np.arange(j - i), np.diff(first))
+            if shared is not None:
+                at, w = anchors(h, doc, length, window)
+                at = at[shared.value.has(w)]
+            else:
+                own = [np.frombuffer(x.as_buffer(), U).astype(np.int64) for x in batch.column("anchors").slice(i, j - i)]
+                at = np.concatenate([x + f for x, f in zip(own, first[:-1], strict=True)])
             h = np.maximum(h, U(1))
-            ids, starts, parts = [], [], []
-            for k in range(i, j):
-                a, b = int(first[k - i]), int(first[k - i + 1])
-                at = np.frombuffer(batch.column("anchors")[k].as_buffer(), U).astype(np.int64)
-                edge = np.zeros(b - a + 1, np.int64)
-                np.add.at(edge, np.maximum(at - (length - window), 0), 1)
-                np.add.at(edge, np.minimum(at + length, b - a), -1)
-                on = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(edge[:-1]) > 0, [0]]).astype(np.int8)))
-                for lo, hi in on.reshape(-1, 2).tolist():
-                    if hi - lo >= length:
-                        ids.append(batch.column("id")[k].as_py())
-                        starts.append(lo)
-                        parts.append(h[a + lo : a + hi].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], names=["id", "start", "words"])
+            which, lo, hi = _open_words(at, doc[at], first, length, window)
+            parts = [h[a:b].tobytes() for a, b in zip(lo, hi, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(which + i)), pa.array((lo - first[which]).astype(np.int64)), pa.array(parts, pa.binary())], names=["id", "start", "words"])
 
     return run
 
 
 def _blobs(batches):
     """(key, data, ids, starts, places): stretches one after another, each ended by one to three zeros so that all
-    begin at a multiple of 3. A key is the partition and a count, so keys follow the order of documents."""
+    begin at a multiple of 3. A key is the partition and a count, so keys follow the order of documents; the
+    more blobs a partition has, the longer the next ones are, so that 2**11 hold whatever a task can."""
     from pyspark import TaskContext
 
     part, count = TaskContext.get().partitionId(), 0
@@ -157,8 +232,6 @@ def _blobs(batches):
 
     def out():
         nonlocal held, ids, starts, places, size, count
-        if count >= 1 << 11:
-            raise ValueError("a partition holds too many blobs: use more partitions")
         cols = [pa.array([(part << 11) + count]), pa.array([np.concatenate(held).tobytes()], pa.binary()), *(pa.array([x], pa.list_(pa.int64())) for x in (ids, starts, places))]
         held, ids, starts, places, size, count = [], [], [], [], 0, count + 1
         return pa.RecordBatch.from_arrays(cols, names=["key", "data", "ids", "starts", "places"])
@@ -171,7 +244,7 @@ def _blobs(batches):
             starts.append(start)
             places.append(size)
             size += len(w) + 3 - len(w) % 3
-            if size >= BLOB:
+            if size >= BLOB << (count >> 8) and count < (1 << 11) - 1:
                 yield out()
     if held:
         yield out()
@@ -386,9 +459,9 @@ def _sort(blobs: Spooled, letters: int, length: int) -> DataFrame:
     return both.groupBy("key").applyInArrow(_suffixes(splitters(blobs.df, letters, 48), length), _PACKED).groupBy("key").applyInArrow(_compared, _PACKED)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, window: int = WINDOW, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(doc_id, start, end): words from ``start`` to ``end`` repeat passages that occur before."""
-    src = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).alias("text")).where("id is not null and text is not null")
+    src = docs.select(number(docs, id_col).alias("id"), column(docs, text_col).alias("text")).where("id is not null and text is not null")
     known = Spooled(src.select("id", F.md5("text").alias("sum")).groupBy("id").agg(F.min("sum").alias("sum"), F.count("*").alias("rows")))
     copy = Spooled(known.df.withColumn("first", F.expr("min(id) over (partition by sum)")).where("first <> id").select("id"))
     text = src
@@ -401,10 +474,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     once = text.join(copies, "id", "left_anti")
     rows = known.df.count()
     buckets = max(1, rows // 10_000)
-    found = once.mapInArrow(_anchored(buckets, length, window), _PACKED).groupBy("key").applyInArrow(_repeated(buckets), _PACKED)
-    open_ = Spooled(found.groupBy("key").applyInArrow(_by_document, "id long, anchors binary"))
+    open_ = Spooled(once.mapInArrow(_distinct_anchors(buckets, length, window), _PACKED).groupBy("key").applyInArrow(_filter, _PACKED))
+    stretched = "id long, start long, words binary"
+    if (open_.df.agg(F.sum(F.length("data"))).first()[0] or 0) <= filter_bytes:
+        shared = docs.sparkSession.sparkContext.broadcast(Repeated(buckets, open_.df.toArrow()))
+        stretches = once.mapInArrow(_stretches(length, window, shared), stretched)
+    else:  # the filters are too large to send around: the windows themselves, by document
+        found = once.mapInArrow(_anchored(buckets, length, window), _PACKED).groupBy("key").applyInArrow(_repeated(buckets), _PACKED)
+        listed = Spooled(found.groupBy("key").applyInArrow(_by_document, "id long, anchors binary"))
+        stretches = once.join(listed.df, "id").mapInArrow(_stretches(length, window), stretched)
     whole = text.join(copies, "id").mapInArrow(_counted, "doc_id long, start long, end long").where(F.col("end") >= length)
-    stretches = once.join(hinted(open_.df, 200_000), "id").mapInArrow(_stretches(length, window), "id long, start long, words binary")
     ordered = stretches.repartitionByRange("id").sortWithinPartitions("id", "start")
     blobs = Spooled(ordered.mapInArrow(_blobs, "key long, data binary, ids array<long>, starts array<long>, places array<long>"))
     _free(open_)
@@ -419,33 +498,38 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     return both.groupBy("key").applyInArrow(_spans(length), "doc_id long, start long, end long").unionByName(whole)
 
 
-def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+def _cut(texts: pa.Array, spans_: pa.Array) -> pa.Array:
     """Texts without the words of their spans, and without the white space before these."""
-    data, offsets = buffers(texts)
-    _, ends, first = words(data, offsets, SPACE)[:3]
+    frugal()
     out = []
-    for k, own in enumerate(spans.to_pylist()):
-        a, b, base = int(first[k]), int(first[k + 1]), int(offsets[k])
-        raw, at, parts = data[base : offsets[k + 1]].tobytes(), 0, []
-        for lo, hi in sorted((s["start"], s["end"]) for s in own):
-            lo = int(ends[a + lo - 1]) - base if lo else 0
+    for k in range(len(texts)):  # text by text: a batch's texts may be long
+        data, offsets = buffers(texts.slice(k, 1))
+        _, ends, _ = spans(data, offsets, SPACE)
+        raw, at, parts = data.tobytes(), 0, []
+        for lo, hi in sorted((s["start"], s["end"]) for s in spans_[k].as_py()):
+            lo = int(ends[lo - 1]) if lo else 0
             parts.append(raw[at : max(at, lo)])
-            at = max(at, int(ends[min(a + hi, b) - 1]) - base)
+            at = max(at, int(ends[min(hi, len(ends)) - 1]))
         out.append(b"".join([*parts, raw[at:]]).decode().strip())
     return pa.array(out, pa.string())
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """docs without their repeats; a document of which nothing is left goes. Other columns stay as they are.
+    """docs without their repeats; a document of which nothing is left goes. Other columns stay as they are, whatever
+    their names.
 
     Of rows that share an id only those with the text that was compared are cut."""
-    spans = repeats(docs, id_col, text_col, length)
-    each = Spooled(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("__spans")).withColumnRenamed("doc_id", "__id")).df
-    own, text = column(docs, id_col).cast("long"), column(docs, text_col)
-    many = docs.where(own.isNotNull() & text.isNotNull()).groupBy(own.alias("__id")).agg(F.min(F.md5(text)).alias("__sum"), F.count("*").alias("__n"))
-    each = each.join(many.where("__n > 1").select("__id", "__sum"), "__id", "left")
-    each = hinted(Spooled(each).df, 200_000)
-    on = (own == each["__id"]) & text.isNotNull() & (each["__sum"].isNull() | (F.md5(text) == each["__sum"]))
-    less = F.arrow_udf(_cut, "string")(text, F.col("__spans"))
-    some = docs.join(each, on).withColumn(text_col, less).select(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).where(F.length(text_col) > 0)
-    return docs.join(each.select("__id", "__sum"), on, "left_anti").unionByName(some)
+    found = repeats(docs, id_col, text_col, length)
+    key, at, sum_ = (fresh(docs, n) for n in ("__id", "__spans", "__sum"))
+    each = Spooled(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias(at)).withColumnRenamed("doc_id", key)).df
+    own, text = number(docs, id_col), column(docs, text_col)
+    many = docs.where(own.isNotNull() & text.isNotNull()).groupBy(own.alias(key)).agg(F.min(F.md5(text)).alias(sum_), F.count("*").alias("n")).where("n > 1").select(key, sum_)
+    each = Spooled(each.join(many, key, "left")).df
+    # broadcast by the number of spans, which are two longs each; text that stays as it is never meets Python
+    if (each.agg(F.sum(F.size(at))).first()[0] or 0) + each.count() <= BROADCAST_ROWS // 2:
+        each = F.broadcast(each)
+    on = (own == each[key]) & text.isNotNull() & (each[sum_].isNull() | (F.md5(text) == each[sum_]))
+    less = F.arrow_udf(_cut, "string")(text, each[at])
+    some = docs.join(each, on).select(*(less.alias(c) if c == text_col else column(docs, c) for c in docs.columns))
+    some = Spooled(some).df  # read back, so that the test below doesn't cut the text a second time
+    return docs.join(each.select(key, sum_), on, "left_anti").unionByName(some.where(F.length(column(some, text_col)) > 0))
