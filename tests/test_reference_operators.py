@@ -366,6 +366,10 @@ def test_places(spark, tmp_path):
     storage.register_backend("mine", "mine", lambda _, p: str(tmp_path / p.path))
     storage.write_jsonl(spark.createDataFrame([("{}",)], "value string"), "mine://x/out", single=True)
     assert storage.check(spark, "mine://x/out")["exists"] is True and storage.check(spark, str(tmp_path / "none"))["exists"] is False
+    storage.register_backend("table", "table", lambda _, p: str(tmp_path / p.path), lambda df, p, mode: df.write.mode("append" if mode == "a" else "overwrite").parquet(str(tmp_path / p.path)))
+    for mode, n in (("w", 1), ("a", 2), ("w", 1)):
+        assert storage.write_jsonl(spark.createDataFrame([("{}",)], "value string"), "table://x/own", mode).records_written == 1
+        assert spark.read.parquet(str(tmp_path / "own")).count() == n
     storage.write_json(spark, {"ü": 1}, str(tmp_path / "d.json"))
     assert (tmp_path / "d.json").read_text() == '{"ü":1}\n'
     assert storage.key_values(["a=b=c"]) == {"a": "b=c"} and list(storage.batched([1, 2, 3], 2)) == [[1, 2], [3]]

@@ -6,6 +6,9 @@ exports), records are made from all rows of a table first.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -636,7 +639,14 @@ def skip_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tracewright-")).rstrip("/") + f"/jsonl-{uuid.uuid4().hex}"
+    """In the shared folder; a temporary one only where that is unset and all runs on this machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="tracewright-")
+        atexit.register(shutil.rmtree, shared[7:], ignore_errors=True)
+    return shared.rstrip("/") + f"/jsonl-{uuid.uuid4().hex}"
 
 
 def _stored(gz: str, append: bool) -> Query:

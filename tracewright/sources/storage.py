@@ -54,13 +54,20 @@ class WriteResult:
 
 
 Backend = Callable[[SparkSession, Place], str]
+#: Writes rows of ``value`` to a place, in mode w or a, by whatever Spark writer.
+Writer = Callable[[DataFrame, Place, str], None]
 _backends: dict[str, tuple[str, Backend]] = {}
+_writers: dict[str, Writer] = {}
 
 
-def register_backend(schemes: str | list[str], name: str, path_of: Backend) -> None:
-    """path_of gives the path Spark reads or writes for a place of these schemes."""
+def register_backend(schemes: str | list[str], name: str, path_of: Backend, writer: Writer | None = None) -> None:
+    """path_of gives the path Spark reads or writes for a place of these schemes. With a writer, rows go to it
+    instead of JSON-lines files at that path."""
     for s in [schemes] if isinstance(schemes, str) else schemes:
         _backends[s.lower()] = name, path_of
+        _writers.pop(s.lower(), None)
+        if writer:
+            _writers[s.lower()] = writer
 
 
 def backend_of(uri: str) -> tuple[str, Backend]:
@@ -134,7 +141,9 @@ def write_jsonl(df: DataFrame, uri: str, mode: str = "w", compression: str = "in
     name, path_of = backend_of(uri)
     seen = Observation()
     counted = df.select("value").observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes"))
-    if name == "postgres":
+    if (writer := _writers.get(place.scheme)) is not None:
+        writer(counted, place, mode)
+    elif name == "postgres":
         _write_jdbc(counted, place, batch_size, dataset, format_name, metadata or {})
     else:
         spark = df.sparkSession
