@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spool_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset a temporary one, if all runs on this machine."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tracewright-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -95,6 +98,13 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     return docs.join(ids, docs[id_col] == ids[ids.columns[0]], "left_anti")
 
 
+def equals(df: DataFrame, by: str) -> DataFrame:
+    """(id, root) of the rows whose value of ``by`` a smaller id has, the smallest such. Equal values are counted
+    before they are shuffled and never meet in one task."""
+    low = df.groupBy(by).agg(F.min("id").alias("root"), F.count("*").alias("n")).where("n > 1").select(by, "root")
+    return df.join(hinted(Spooled(low).df, BROADCAST_ROWS // 4), by).where("root <> id").select("id", "root")
+
+
 def column(df: DataFrame, name: str) -> Column:
     """A top-level column whatever dots its name holds."""
     return df["`" + name.replace("`", "``") + "`"]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spooled, column, hinted, number
+from .common import Spooled, column, equals, hinted, number
 from .kernels import NOT_ALNUM, U, batch_blocks, frugal, mix, owner, windows, within, words
 
 SHINGLE = 2
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(number(docs, id_col).alias("id"), column(docs, text_col).alias("text")).where("id is not null and text is not null")
     signed = Spooled(src.mapInArrow(_signed, "id long, whole long, bands array<long>"))
     one = signed.df.groupBy("id").agg(F.min_by("bands", "whole").alias("bands"), F.min("whole").alias("whole"))
-    same = Spooled(one.select("id", "whole").withColumn("root", F.expr("min(id) over (partition by whole)")).where("root <> id").select("id", "root"))
+    same = Spooled(equals(Spooled(one.select("id", "whole")).df, "whole"))
     reps = signed.df.join(hinted(same.df.select("id")), "id", "left_anti")
     buckets = reps.select("id", F.explode("bands").alias("band")).distinct()
     sizes = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")

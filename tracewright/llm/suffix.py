@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Spooled, column, fresh, hinted, number
+from .common import BROADCAST_ROWS, Spooled, column, equals, fresh, hinted, number
 from .kernels import SPACE, U, batch_blocks, buffers, frugal, mix, spans, windows, words
 
 LENGTH = 51
@@ -463,7 +463,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """(doc_id, start, end): words from ``start`` to ``end`` repeat passages that occur before."""
     src = docs.select(number(docs, id_col).alias("id"), column(docs, text_col).alias("text")).where("id is not null and text is not null")
     known = Spooled(src.select("id", F.md5("text").alias("sum")).groupBy("id").agg(F.min("sum").alias("sum"), F.count("*").alias("rows")))
-    copy = Spooled(known.df.withColumn("first", F.expr("min(id) over (partition by sum)")).where("first <> id").select("id"))
+    copy = Spooled(equals(known.df.select("id", "sum"), "sum").select("id"))
     text = src
     clash = known.df.where("rows > 1").select("id", "sum")
     if clash.limit(1).count():  # ids that more than one row has
