@@ -6,12 +6,14 @@ of the last chunk is that of the record; any prefix of a transfer can be checked
 
 ``read`` streams WARC files, plain or gzip by member, in blocks through one pass: headers, then payload
 bytes straight into chunks; a task holds one chunk and one block. ``write`` makes files of records from a
-table of payloads. ``chunked`` cuts payloads that are already in a column, without copying them whole.
+table of payloads, ``write_chunks`` from a table of chunks. ``chunked`` cuts payloads that are already in a column, without copying them whole.
 
 Defined cases: an empty payload is one chunk of length 0, marked last; a null record id or payload gives
 no rows; records that share an id are cut each; an empty table gives no rows; further columns are
-ignored. A file that ends inside a record gives the chunks that are there, none of them marked last. A
-block whose headers can't be read, or whose Content-Length is missing, ends that file's records.
+ignored. A file that ends inside a record gives the chunks that are there, none of them marked last. What is
+no record (headers that can't be read or are longer than ``LINE``, a missing Content-Length, bytes between
+records, damaged gzip members) is one row with an ``error`` and no chunk, and reading goes on at
+the next line that begins a record, or the next member. Chunks are marked last only if their record is whole.
 """
 
 from __future__ import annotations
@@ -27,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, number
 from .kernels import buffers
 
 CHUNK = 65536
 #: Bytes of chunks that a task gathers before it hands them on.
 FLUSH = 8_000_000
 BLOCK = 1 << 16
+#: Bytes of a header line; a longer one is no header.
+LINE = 1 << 20
+_MEMBER = b"\x1f\x8b\x08"
 
 ORACLE_SQL = """
 WITH p AS (SELECT page_id, hex(encode(html)) AS x FROM pages WHERE page_id IS NOT NULL AND html IS NOT NULL),
@@ -92,15 +97,16 @@ def chunked(records: DataFrame, id_col: str, payload_col: str, size: int = CHUNK
                         yield rows.batch()
         yield rows.batch()
 
-    src = records.select(column(records, id_col).cast("long").alias("record"), column(records, payload_col).cast("string").alias("payload")).where("record is not null and payload is not null")
+    src = records.select(number(records, id_col).alias("record"), column(records, payload_col).cast("string").alias("payload")).where("record is not null and payload is not null")
     return src.mapInArrow(run, f"record long, chunk int, offset long, length int, data {'string' if as_base64 else 'binary'}, digest string, last boolean")
 
 
 class Source:
-    """Bytes of a file, decompressed if it is gzip, one block at a time."""
+    """Bytes of a file, decompressed if it is gzip, one block at a time. What can't be decompressed ends the bytes
+    until ``recover`` finds the next member; ``damage`` then says why."""
 
     def __init__(self, file: BinaryIO):
-        self.file, self.held, self.zip = file, b"", None
+        self.file, self.held, self.zip, self.rest, self.damage = file, b"", None, b"", ""
         head = file.read(BLOCK)
         if head[:2] == b"\x1f\x8b":
             self.zip, self.rest = zlib.decompressobj(31), head
@@ -110,29 +116,57 @@ class Source:
     def _more(self) -> bytes:
         if self.zip is None:
             return self.file.read(BLOCK)
-        while True:
-            raw, self.rest = (self.rest or self.file.read(BLOCK)), b""
+        while not self.damage:
+            raw = self.rest or self.file.read(BLOCK)
             if not raw:
                 return b""
-            out = self.zip.decompress(raw, BLOCK)
+            try:
+                out = self.zip.decompress(raw, BLOCK)
+            except zlib.error as e:
+                self.damage, self.rest = str(e), raw
+                return b""
             self.rest = self.zip.unconsumed_tail
             if self.zip.eof:  # the next member is the next record
                 self.rest, self.zip = self.zip.unused_data, zlib.decompressobj(31)
             if out:
                 return out
+        return b""
+
+    def recover(self) -> bool:
+        """To the next gzip member after what is damaged; False if there is none."""
+        raw = self.rest[1:]
+        while (at := raw.find(_MEMBER)) < 0:
+            more = self.file.read(BLOCK)
+            if not more:
+                self.rest = b""
+                return False
+            raw = raw[-2:] + more
+        self.rest, self.held, self.damage, self.zip = raw[at:], b"", "", zlib.decompressobj(31)
+        return True
 
     def line(self) -> bytes | None:
-        """Up to a line feed; None at the end of the file."""
+        """Up to a line feed; None at the end of the file, and if there is none within LINE bytes."""
         while (at := self.held.find(b"\n")) < 0:
-            more = self._more()
-            if not more or len(self.held) > 1 << 20:
+            if len(self.held) > LINE or not (more := self._more()):
                 return None
             self.held += more
         out, self.held = self.held[: at + 1], self.held[at + 1 :]
         return out
 
+    def skip(self) -> bool:
+        """To the next line that begins a record; False if there is none."""
+        seen = b"\n" + self.held
+        while (at := seen.find(b"\nWARC/")) < 0:
+            more = self._more()
+            if not more:
+                self.held = b""
+                return False
+            seen = seen[-5:] + more
+        self.held = seen[at + 1 :]
+        return True
+
     def read(self, n: int) -> bytes:
-        """n bytes; fewer if the file ends."""
+        """n bytes; fewer if the file ends or is damaged."""
         out = bytearray()
         while len(out) < n:
             if not self.held and not (more := self._more()):
@@ -145,25 +179,40 @@ class Source:
 
 
 def records(file: BinaryIO, size: int = CHUNK) -> Iterator[tuple[dict[str, str], Iterator[tuple[int, int, bytes, str, bool]]]]:
-    """Headers of each record and its chunks. Take a record's chunks before the next record."""
+    """Headers of each record and its chunks. Take a record's chunks before the next record. What can't be read has
+    the header ``error`` and no chunks."""
     src = Source(file)
     while True:
+        head: dict[str, str] = {}
         line = src.line()
         while line is not None and not line.strip():
             line = src.line()
-        if line is None or not line.startswith(b"WARC/"):
-            return
-        head: dict[str, str] = {}
-        while (line := src.line()) is not None and line.strip():
-            key, _, value = line.decode("utf-8", "replace").partition(":")
-            head[key.strip().lower()] = value.strip()
-        if line is None or not head.get("content-length", "").isdigit():
+        wrong = ""
+        if line is None:
+            wrong = src.damage or ("a line is too long" if src.held and len(src.held) > LINE else "bytes that are no record" if src.held else "")
+            if not wrong:
+                return
+        elif not line.startswith(b"WARC/"):
+            wrong = "bytes that are no record"
+        else:
+            while (line := src.line()) is not None and line.strip():
+                key, _, value = line.decode("utf-8", "replace").partition(":")
+                head[key.strip().lower()] = value.strip()
+            if line is None:
+                wrong = src.damage or "headers that don't end"
+            elif not head.get("content-length", "").isdigit():
+                wrong = "no Content-Length"
+        if not wrong:
+            body = _chunked(src, int(head["content-length"]), size)
+            yield head, body
+            for _ in body:  # what the caller left
+                pass
+            wrong = src.damage
+            if not wrong:
+                continue
+        yield head | {"error": wrong}, iter(())
+        if not (src.recover() if src.damage else src.skip()) and not (src.damage and src.recover()):
             return
-        n = int(head["content-length"])
-        body = _chunked(src, n, size)
-        yield head, body
-        for _ in body:  # what the caller left
-            pass
 
 
 def _chunked(src: Source, n: int, size: int) -> Iterator[tuple[int, int, bytes, str, bool]]:
@@ -188,63 +237,108 @@ def _open(path: str) -> BinaryIO:
 
 
 def _paths(spark: SparkSession, path: str) -> list[str]:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.listStatus(hadoop) if fs.getFileStatus(hadoop).isDirectory() else [fs.getFileStatus(hadoop)]
-    return sorted(s.getPath().toUri().toString().replace("file:/", "file:///").replace("file://///", "file:///") for s in found if not s.isDirectory() and not s.getPath().getName().startswith(("_", ".")))
+    """Files at path and in its folders, but for hidden ones."""
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top, each, found = fs.makeQualified(base).toUri().getPath(), fs.listFiles(base, True), []
+    while each.hasNext():
+        uri = each.next().getPath().toUri()
+        if not any(part.startswith(("_", ".")) for part in uri.getPath()[len(top) :].split("/")):
+            found.append(uri.toString().replace("file:/", "file:///").replace("file://///", "file:///"))
+    return sorted(found)
 
 
 def read(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
-    """(file, record, type, target, chunk, offset, length, data, digest, last) of the WARC files at path, a file a task."""
+    """(file, record, type, target, chunk, offset, length, data, digest, last, error) of the WARC files at path, a file a task."""
     files = _paths(spark, path)
-    names = ["file", "record", "type", "target", "chunk", "offset", "length", "data", "digest", "last"]
-    kinds = [pa.string()] * 4 + [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.bool_()]
+    names = ["file", "record", "type", "target", "chunk", "offset", "length", "data", "digest", "last", "error"]
+    kinds = [pa.string()] * 4 + [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.bool_(), pa.string()]
+
+    def rows_of(file: str):
+        with _open(file) as f:
+            for head, body in records(f, size):
+                known = (file, head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"))
+                if "error" in head:
+                    yield (*known, *[None] * 6, head["error"])
+                for k, at, part, digest, last in body:
+                    yield (*known, k, at, len(part), part, digest, last, None)
 
     def run(batches):
+        rows, held = [], 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         for batch in batches:
             for file in batch.column("file").to_pylist():
-                rows, held = [], 0
-                with _open(file) as f:
-                    for head, body in records(f, size):
-                        for k, at, part, digest, last in body:
-                            rows.append((file, head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), k, at, len(part), part, digest, last))
-                            held += len(part)
-                            if held >= FLUSH:
-                                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                                rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                for row in rows_of(file):
+                    rows.append(row)
+                    held += (row[6] or 0) + 200
+                    if held >= FLUSH:
+                        yield out()
+                        rows, held = [], 0
+        if rows:
+            yield out()
 
     listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, len(files)), "file")
-    return listed.mapInArrow(run, "file string, record string, type string, target string, chunk int, offset long, length int, data binary, digest string, last boolean")
+    return listed.mapInArrow(run, "file string, record string, type string, target string, chunk int, offset long, length int, data binary, digest string, last boolean, error string")
 
 
-def record_bytes(record: str, target: str | None, payload: bytes, date: str = "1970-01-01T00:00:00Z") -> bytes:
-    head = ["WARC/1.1", "WARC-Type: resource", f"WARC-Record-ID: {record}", *([f"WARC-Target-URI: {target}"] if target else []), f"WARC-Date: {date}", f"Content-Length: {len(payload)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+def record_head(record: str, target: str | None, n: int, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    head = ["WARC/1.1", "WARC-Type: resource", f"WARC-Record-ID: {record}", *([f"WARC-Target-URI: {target}"] if target else []), f"WARC-Date: {date}", f"Content-Length: {n}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n"
 
 
-def write(df: DataFrame, path: str, id_col: str, payload_col: str, target_col: str | None = None) -> int:
-    """Writes a gzip WARC file for each partition, a member a record, and returns the number of records. A
-    task writes under a name of its own and renames at its end, so a repeated task leaves no half file."""
-    target = column(df, target_col) if target_col else F.lit(None)
-    src = df.select(column(df, id_col).cast("string").alias("record"), target.cast("string").alias("target"), column(df, payload_col).cast("string").alias("payload"), F.spark_partition_id().alias("part")).where("record is not null and payload is not null")
+def _written(src: DataFrame, path: str) -> int:
+    """src: (record, target, total, first, last, data, part); the rows of a record follow one another."""
 
     def run(batches):
         from pyarrow import fs
 
         where, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
         where.create_dir(base, recursive=True)
-        n, out, temp, part = 0, None, f"{base}/.{uuid.uuid4().hex}", 0
+        n, out, temp, part, z = 0, None, f"{base}/.{uuid.uuid4().hex}", 0, None
         for batch in batches:
-            for record, target_, payload, part in zip(*(batch.column(c).to_pylist() for c in ("record", "target", "payload", "part")), strict=True):
+            cols = (batch.column(c).to_pylist() for c in ("record", "target", "total", "first", "last", "part"))
+            for record, target, total, first, last, part, data in zip(*cols, batch.column("data"), strict=True):
                 out = out or where.open_output_stream(temp, compression=None)
-                z = zlib.compressobj(6, zlib.DEFLATED, 31)
-                out.write(z.compress(record_bytes(f"<urn:record:{record}>", target_, payload.encode())) + z.flush())
-                n += 1
+                if first:
+                    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    out.write(z.compress(record_head(f"<urn:record:{record}>", target, total)))
+                    n += 1
+                view = memoryview(data.as_buffer())
+                for at in range(0, len(view), CHUNK):
+                    out.write(z.compress(view[at : at + CHUNK]))
+                if last:
+                    out.write(z.compress(b"\r\n\r\n") + z.flush())
         if out:
             out.close()
             where.move(temp, f"{base}/part-{part:05d}.warc.gz")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     return src.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def write(df: DataFrame, path: str, id_col: str, payload_col: str, target_col: str | None = None) -> int:
+    """Writes a gzip WARC file for each partition, a member a record, and returns the number of records. The payload
+    is text or binary and is compressed piece by piece. A task writes under a name of its own and renames at its
+    end, so a repeated task leaves no half file."""
+    target = column(df, target_col) if target_col else F.lit(None)
+    payload, yes = column(df, payload_col).cast("binary"), F.lit(True)
+    src = df.select(
+        column(df, id_col).cast("string").alias("record"), target.cast("string").alias("target"), F.length(payload).cast("long").alias("total"),
+        yes.alias("first"), yes.alias("last"), payload.alias("data"), F.spark_partition_id().alias("part"),
+    )
+    return _written(src.where("record is not null and data is not null"), path)
+
+
+def write_chunks(rows: DataFrame, path: str) -> int:
+    """Writes the records of a chunk table, as ``write`` does, holding a chunk at a time. rows: (record, chunk, offset,
+    length, data, last) with binary data, and target if there is one; a record that lacks a chunk or its end is an error,
+    as is one with a chunk twice."""
+    key = column(rows, "record").cast("string").alias("record")
+    target = column(rows, "target") if "target" in rows.columns else F.lit(None)
+    src = rows.select(key, target.cast("string").alias("target"), *(column(rows, c) for c in ("chunk", "offset", "length", "data", "last"))).where("record is not null and chunk is not null")
+    whole = src.groupBy("record").agg(F.max(F.col("offset") + F.col("length")).alias("total"), F.max("chunk").alias("end"), F.count("*").alias("n"), F.sum("length").alias("sum"), F.max("last").alias("done"))
+    ok = (F.col("n") == F.col("end") + 1) & (F.col("sum") == F.col("total")) & F.col("done")
+    whole = whole.select("record", F.when(ok, F.col("total")).otherwise(F.raise_error(F.concat(F.lit("chunks missing of record "), "record"))).cast("long").alias("total"), "end")
+    each = src.join(whole, "record").repartition("record").sortWithinPartitions("record", "chunk")
+    flags = ((F.col("chunk") == 0).alias("first"), (F.col("chunk") == F.col("end")).alias("last"))
+    return _written(each.select("record", "target", "total", *flags, "data", F.spark_partition_id().alias("part")), path)
