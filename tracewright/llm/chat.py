@@ -9,7 +9,9 @@ off before comparing, if it is there.
 
 Defined cases: turns are ordered by turn, role, text, nulls first; a null role or text counts as empty;
 a null turn is a turn; a null conversation id makes no conversation; equal rows are turns each; a turn
-that adds nothing has an empty span. An empty table gives no rows; further columns are ignored.
+that adds nothing has an empty span. If the template raises an error for a prefix, the turn's start, end and
+rewrites are null, and the next turn that is rendered is compared with the last output there was (with the
+empty text if there was none). An empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, number
 
 Turns = list[tuple[str, str]]
 Template = Callable[[Turns], str]
@@ -100,18 +102,22 @@ SELECT conv_id, template, CAST(k AS INTEGER) AS turn, role, CAST(a AS BIGINT) AS
 FROM (SELECT * FROM plain UNION ALL SELECT * FROM rewritten)"""
 
 
-def spans(turns: Turns, template: Template, closing: str = "") -> list[tuple[int, int, bool]]:
+def spans(turns: Turns, template: Template, closing: str = "") -> list[tuple[int | None, int | None, bool | None]]:
     """(start, end, rewrites) of each turn in the output for the turns up to it."""
-    out, last = [], None
+    out, last = [], ""
     for k in range(len(turns) + 1):
-        now = template(turns[:k])
+        try:
+            now = template(turns[:k])
+        except Exception:  # any: the template is a black box, and may refuse what isn't a whole conversation
+            if k:
+                out.append((None, None, None))
+            continue
         if closing and now.endswith(closing):
             now = now[: -len(closing)]
-        if last is not None:
-            if now.startswith(last):
-                out.append((len(last), len(now), False))
-            else:
-                out.append((len(os.path.commonprefix([last, now])), len(now), True))
+        if k and now.startswith(last):
+            out.append((len(last), len(now), False))
+        elif k:
+            out.append((len(os.path.commonprefix([last, now])), len(now), True))
         last = now
     return out
 
@@ -134,6 +140,6 @@ def _rendered(templates: dict[str, tuple[Template, str]]):
 def turn_spans(conversations: DataFrame, templates: dict[str, tuple[Template, str]] = TEMPLATES) -> DataFrame:
     """(conv_id, template, turn, role, start, end, rewrites) of every turn, counted from 0, in each template."""
     c = conversations
-    src = c.select(column(c, "conv_id").cast("long").alias("conv_id"), F.struct(*(column(c, n).alias(n) for n in ("turn", "role", "text"))).alias("t")).where("conv_id is not null")
+    src = c.select(number(c, "conv_id").alias("conv_id"), F.struct(*(column(c, n).alias(n) for n in ("turn", "role", "text"))).alias("t")).where("conv_id is not null")
     whole = src.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     return whole.mapInArrow(_rendered(templates), "conv_id long, template string, turn int, role string, start long, end long, rewrites boolean")
