@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -10,10 +11,13 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tracewright.llm import lm, minhash, suffix, toxicity
-from tracewright.llm.kernels import buffers
+from tracewright.llm import lm, minhash, packing, suffix, toxicity
+from tracewright.llm.kernels import buffers, byte_prefix, hash_spans
+from tracewright.llm.tokens import encoding
 
 from .edge import documents
+from .test_small_operators import naive_best_fit, naive_matches
+from .test_suffix import brute
 
 WORDS = [a + b for a in "ba ko mi ru te so ni la ve pu".split() for b in "ren dal mos tik lum".split()]
 
@@ -63,26 +67,66 @@ def test_toxicity_edges(spark):
 # LM
 
 
+def windows(v, ids, first, stride=lm.STRIDE):
+    return lm.windows_of(v.place[ids], first, *lm.context(first, stride))
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     ids, first = rng.integers(0, 300, 500), np.array([0, 0, 130, 131, 500])
     v = lm.Vocabulary(*np.unique(ids, return_counts=True))
-    kind, lm._F = lm._F, np.float64
-    try:
-        p = {k: x.astype(np.float64) + rng.normal(0, 0.05, x.shape) for k, x in lm.start(v).items()}
-        x, source, at = lm.windows_of(v.place[ids], first, *lm.context(ids, first))
-        assert sorted(source.tolist()) == list(range(500))  # each once
-        y = v.place[ids][source].astype(int)
-        _, d = lm.gradients(p, x, y, at)
-        for k in p:
-            i = np.unravel_index(np.abs(d[k]).argmax(), d[k].shape)
+    p = {k: x.astype(np.float64) + rng.normal(0, 0.05, x.shape) for k, x in lm.start(v).items()}
+    x, y, at = windows(v, ids, first)
+    assert sorted(y.tolist()) == sorted(v.place[ids].tolist())  # each once
+    _, whole, rows = lm.gradients(v, p, x, y, at)
+    d = dict(whole)
+    for k, (r, by_row) in rows.items():
+        d[k] = np.zeros_like(p[k])
+        d[k][r] = by_row
+    assert d.keys() == p.keys()
+    for k in p:
+        for i in (np.unravel_index(np.abs(d[k]).argmax(), d[k].shape), tuple(rng.integers(0, n) for n in d[k].shape)):
             q = {a: b.copy() for a, b in p.items()}
-            q[k][i] += 1e-5
-            up = lm.losses(q, x, y, at).mean()
-            q[k][i] -= 2e-5
-            assert math.isclose((up - lm.losses(q, x, y, at).mean()) / 2e-5, d[k][i], rel_tol=1e-3, abs_tol=1e-8)
-    finally:
-        lm._F = kind
+            q[k][i] += 1e-6
+            up = lm.losses(v, q, x, y, at).mean()
+            q[k][i] -= 2e-6
+            assert math.isclose((up - lm.losses(v, q, x, y, at).mean()) / 2e-6, d[k][i], rel_tol=1e-3, abs_tol=1e-8)
+
+
+def plain_losses(v, p, places):
+    """-log p of each place of one text, one window and one position after another."""
+    p = {k: x.astype(float) for k, x in p.items()}
+    out = []
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for k in range(len(places)):
+        begin = 0 if k < lm.WINDOW else (k - lm.WINDOW) // lm.STRIDE * lm.STRIDE + lm.STRIDE
+        seen = [places[j - 1] + lm._INPUTS if j else lm._BEGIN for j in range(begin, k + 1)]
+        e = p["emb"][seen] + p["pos"][: len(seen)]
+        q, key, value = np.split(e @ p["qkv"], 3, axis=1)
+        h = e[-1] + softmax(key @ q[-1]) @ value @ p["o"]
+        g = np.append(h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"], 1)
+        c = v.of[places[k]]
+        steps = ((g @ p["wc"], c), (p["wp"][v.starts[c] : v.ends[c]] @ g, places[k] - v.starts[c]))
+        out.append(sum(np.log(np.exp(z - z.max()).sum()) + z.max() - z[i] for z, i in steps))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("large", [0, 2])
+def test_scores_are_those_of_plain_attention(large):
+    rng = np.random.default_rng(3)
+    ids, first = rng.integers(0, 90, 320), np.array([0, 1, 1, 65, 320])
+    v = lm.Vocabulary(*np.unique(ids, return_counts=True))
+    p = {k: (x + rng.normal(0, 0.3 + large, x.shape)).astype(np.float32) for k, x in lm.start(v).items()}
+    table = pa.table({"id": pa.array(range(4), pa.int64()), "ids": pa.array([ids[a:b].astype(np.uint16).tobytes() for a, b in zip(first, first[1:])], pa.binary())})
+
+    class Shared:
+        value = (v, p)
+
+    got = pa.Table.from_batches(lm._scored(Shared)(iter(table.to_batches()))).to_pylist()
+    for r, a, b in zip(got, first, first[1:]):
+        assert r["n_tokens"] == b - a
+        want = plain_losses(v, p, v.place[ids[a:b]]).mean() if b > a else None
+        assert (r["nll"] is None) == (want is None) and (want is None or math.isclose(r["nll"], want, rel_tol=1e-3))
 
 
 def test_every_id_has_its_own_place():
@@ -90,81 +134,69 @@ def test_every_id_has_its_own_place():
         ids = np.arange(n) * 5
         v = lm.Vocabulary(ids, np.arange(1, n + 1))
         p = lm.start(v)
-        assert len(set(v.place[ids].tolist())) == n and v.place.max() < v.classes**2 == p["bp"].size
+        assert len(set(v.place[ids].tolist())) == n and v.place.max() == len(v.of) - 1 == v.ends[-1] - 1
         rare = v.place[ids[:200]].astype(int)
-        x, source, at = lm.windows_of(rare, np.array([0, len(rare)]), *lm.context(rare, np.array([0, len(rare)])))
-        y = rare[source]
+        x, y, at = lm.windows_of(rare, np.array([0, len(rare)]), *lm.context(np.array([0, len(rare)])))
         assert len(p["emb"]) > x.max() and len(set(x[x > lm._PAD].tolist())) == min(n, 200) - 1
-        assert np.allclose(lm.losses(p, x, y, at), -np.log(p_of(v))[y], atol=1e-4)
+        assert np.allclose(lm.losses(v, p, x, y, at), -np.log(p_of(v))[y], atol=1e-4)
 
 
 def p_of(v):
     """Probability of each place by the counts alone, as an untrained model has it."""
-    return (np.exp(v.class_bias.astype(float))[:, None] * np.exp(v.place_bias.astype(float))).ravel()
+    return np.exp(v.class_bias.astype(float)[v.of] + v.place_bias.astype(float))
 
 
-def test_later_tokens_do_not_matter():
-    rng = np.random.default_rng(1)
-    ids = rng.integers(0, 200, 200)
+def sentences(seed, n):
+    rng = random.Random(seed)
+    follow = {w: random.Random(w).sample(WORDS, 2) for w in WORDS}
+    out = []
+    for k in range(n):
+        w = [rng.choice(WORDS)]
+        while len(w) < rng.randrange(20, 300):
+            w.append(rng.choice(follow[w[-1]]))
+        out.append((k, " ".join(w)))
+    return out
+
+
+def test_every_token_trains_once(spark):
+    rows = sentences(6, 60) + [(7, "the same row again and again " * 9)] * 40  # the copies fill shards
+    tokens = lm.tokenized(documents(spark, rows).repartition(3))
+    total = tokens.selectExpr("sum(length(ids)) / 2 as n").first()["n"]
+    dealt = [[(r["id"], bytes(r["ids"]), r["shard"]) for r in own.collect()] for own in lm.rounds(tokens, total, 600)]
+    assert sorted(r[:2] for own in dealt for r in own) == sorted((r["id"], bytes(r["ids"])) for r in tokens.collect())
+    for own, share in zip(dealt, lm.SHARES):
+        sizes = Counter()
+        for _, ids, shard in own:
+            sizes[shard] += len(ids) // 2
+        assert sizes.total() < 2 * total * share / 16 + 600 and max(sizes.values()) < 4 * 600
+    assert sum(any(r[0] == 7 for r in own) for own in dealt) > 1
+    ids, first = lm._ids_of(tokens.toArrow())
     v = lm.Vocabulary(*np.unique(ids, return_counts=True))
-    p = lm.start(v)
-    p["wc"] += rng.normal(0, 0.3, p["wc"].shape).astype(np.float32)
-
-    def per_token(ids):
-        first = np.array([0, len(ids)])
-        x, source, at = lm.windows_of(v.place[ids], first, *lm.context(ids, first))
-        out = np.zeros(len(ids))
-        out[source] = lm.losses(p, x, v.place[ids][source].astype(int), at)
-        return out
-
-    other = ids.copy()
-    other[150:] = rng.integers(0, 200, 50)
-    assert np.allclose(per_token(ids)[:150], per_token(other)[:150], atol=1e-5)
-    assert np.allclose(per_token(ids[:40]), per_token(ids)[:40], atol=1e-5)
-
-
-def test_every_window_trains_once(spark, monkeypatch):
-    rng = random.Random(6)
-    rows = [(k, " ".join(rng.choices(WORDS, k=rng.randrange(1, 400)))) for k in range(40)]
-    src = documents(spark, rows).selectExpr("doc_id as id", "text").repartition(2)
-    tokens = lm.Spooled(src.mapInArrow(lm._tokenized(lm.VOCABULARY), "id long, ids binary")).df
-    real, calls = lm._trained, []
-
-    def watched(*args):
-        calls.append(args)
-        return real(*args)
-
-    monkeypatch.setattr(lm, "_trained", watched)
-    for some, many in ((tokens, True), (tokens.limit(1), False)):
-        calls.clear()
-        v, p = lm.train(some)
-        batches = some.toArrow().to_batches()
-        n = [sum(out.column("n").to_pylist()[0] for out in real(*args)(iter(batches))) for args in calls]
-        assert sum(n) == sum(len(lm.context(*lm._ids_of(b))[0]) for b in batches)
-        assert not many or len(n) == lm.ROUNDS and min(n) > 0
-        assert not np.array_equal(p["wc"], lm.start(v)["wc"])
-
-
-def test_scores_learn_and_cover_every_token(spark):
-    rng = random.Random(4)
-    follow = {w: rng.sample(WORDS, 2) for w in WORDS}
-
-    def text(n):
-        out = [rng.choice(WORDS)]
-        while len(out) < n:
-            out.append(rng.choice(follow[out[-1]]))
-        return " ".join(out)
-
-    rows = [(k, text(rng.randrange(20, 300))) for k in range(300)]
-    shuffled = [(1000 + k, " ".join(rng.sample(t.split(), len(t.split())))) for k, (_, t) in enumerate(rows[:60])]
-    df = documents(spark, rows + shuffled).repartition(2)
-    got = {r["doc_id"]: r for r in lm.scores(df, share=1, rounds=6).collect()}
-    from tracewright.llm.tokens import encoding
+    win = lm.context(first, lm.WINDOW)
+    x, y, _ = lm.windows_of(v.place[ids], first, *win)
+    assert len(y) == total and lm.trained(v, lm.start(v), ids, first, 1)[0] == len(x)
+
 
+def test_scores_beat_counts_and_do_not_depend_on_partitions(spark):
+    rows = sentences(4, 300)
+    shuffled = [(1000 + k, " ".join(random.Random(k).sample(t.split(), len(t.split())))) for k, (_, t) in enumerate(rows[:60])]
     enc = encoding()
+    for shard in (lm.SHARD, 9_000):  # one shard a round, and many
+        runs = []
+        for parts in (2, 8, 32):
+            got = {r["doc_id"]: r for r in lm.scores(documents(spark, rows + shuffled).repartition(parts), shard=shard).collect()}
+            runs.append([got[k]["nll"] for k in sorted(got)])
+        assert np.allclose(runs[0], runs[1], atol=1e-4) and np.allclose(runs[0], runs[2], atol=1e-4)
+        ids = Counter(i for _, t in rows + shuffled for i in enc.encode_ordinary(t))
+        unigram = -sum(n * math.log(n / ids.total()) for n in ids.values()) / ids.total()
+        weight = np.array([got[k]["n_tokens"] for k in sorted(got)])
+        assert (np.array(runs[0]) * weight).sum() / weight.sum() < unigram - 0.5
+        mean = lambda keys: sum(got[k]["nll"] for k in keys) / len(keys)
+        assert mean(range(60)) < mean(range(1000, 1060)) - 0.3
     assert all(got[k]["n_tokens"] == len(enc.encode_ordinary(t)) for k, t in rows)
-    mean = lambda keys: sum(got[k]["nll"] for k in keys) / len(keys)
-    assert mean(range(60)) < mean(range(1000, 1060)) - 0.3
+
+
+def test_lm_edges(spark):
     edge = {(r["doc_id"], r["n_tokens"]): r["nll"] for r in lm.scores(documents(spark)).collect()}
     assert edge[2, 0] is None and edge[3, 0] is None and all(v is None or math.isfinite(v) for v in edge.values())
     assert lm.scores(documents(spark).limit(0)).collect() == []
@@ -244,7 +276,7 @@ def test_near_duplicates_edges(spark):
 def test_cut_takes_repeats_out_and_nothing_else(spark):
     passage, far = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("p", 60), ("far", 30_000)))
     rows = [(1, f"start one\n{passage} fin one"), (2, f"begin two  {passage}\n\nend two"), (3, passage), (4, "clean text  with  spaces "), (5, None), (None, passage), (6, far), (7, "x " + far), (3, "other text of three")]
-    df = documents(spark, rows)
+    df = documents(spark, rows).withColumnsRenamed({"row": "__id", "key": "__spans", "data": "__sum", "rank": "__ID_"})
     out = suffix.cut(df)
     assert out.columns == df.columns
     got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
@@ -276,6 +308,83 @@ def small_tables(tmp_path, spark):
     return docs, passage
 
 
+def plain_toxicity(text, weights, bias):
+    """Highest probability of a tile, n-gram by n-gram."""
+    w, best = text.lower().split(), 0.0
+    for a in range(0, len(w), toxicity.TILE):
+        grams = []
+        for x in {*w[a : a + toxicity.TILE]}:
+            raw = np.frombuffer(f" {x} ".encode(), np.uint8)
+            for n in toxicity.GRAMS:
+                for k in range(len(raw) - n + 1):
+                    h = hash_spans(byte_prefix(raw[k : k + n]), np.array([0]), np.array([n]))[0]
+                    grams.append(weights[int(h) >> (64 - 18)])
+        best = max(best, 1 / (1 + math.exp(-(sum(grams) / max(len(grams), toxicity.FLOOR) + bias))))
+    return best
+
+
+def plain_cut(text, words):
+    out, last = [], 0
+    for k, m in enumerate(re.finditer(r"\S+", text)):
+        if k not in words:
+            out.append(text[last : m.end()])
+        last = m.end()
+    return ("".join(out) + text[last:]).strip()
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    docs, _ = small_tables(tmp_path, spark)
+    whole, labels = (spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("documents", "labels"))
+    raw, bias, cut = toxicity.model(whole, labels)
+    weights = np.frombuffer(raw, np.float32).astype(float)
+    texts = {k: t for k, t in docs if plain_toxicity(t, weights, bias) < cut}
+    bags = {k: bag(t) for k, t in texts.items()}
+    for b in sorted(bags):
+        if any(a < b and probability_jaccard(bags[a], bags[b]) >= minhash.THRESHOLD for a in texts):
+            del texts[b]
+    texts |= {501: ""}
+    again = brute(sorted(texts.items()), suffix.LENGTH)
+    texts = {k: plain_cut(t, again[k]) if k in again else t for k, t in texts.items()}
+    leaks = naive_matches(list(texts.items()), [(r["item_id"], r["text"]) for r in spark.read.parquet(str(tmp_path / "benchmark.parquet")).collect()])
+    texts = {k: t for k, t in texts.items() if k not in {d for d, *_ in leaks}}
+    enc, want, lengths = encoding(), Counter(), []
+    for k, t in [*texts.items(), (None, "no id")]:
+        n = len(enc.encode_ordinary(t))
+        pieces = [packing.CAPACITY] * (n // packing.CAPACITY) + [n % packing.CAPACITY] * (n % packing.CAPACITY > 0)
+        want.update((k, at * packing.CAPACITY, x) for at, x in enumerate(pieces))
+        lengths += pieces
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["start"], r["length"]) for r in got) == want and leaks and again
+    bins: dict = {}
+    for r in got:
+        bins.setdefault(r["bin"], []).append((r["place"], r["length"]))
+    assert Counter(tuple(n for _, n in sorted(own)) for own in bins.values()) == naive_best_fit(lengths, packing.CAPACITY)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, ties, equal rows, one id with two texts, long texts, columns named as the stages' own; then nothing at all."""
+    extra = {"row": "__id", "key": "__spans", "data": "__sum", "rank": "hash", "bin": "part", "start": "band"}
+    docs = documents(spark).withColumnsRenamed(extra)
+    labels = spark.createDataFrame([(1, 0, 0), (7, 1, 0), (None, 1, 1), (8, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "word1 word2 word3 word4 word5 word6 word7"), (None, "x"), (2, None)], "item_id long, text string")
+    for name, rows in (("full", docs), ("none", docs.limit(0))):
+        where = tmp_path / name
+        for table, df in (("documents", rows), ("labels", labels), ("benchmark", bench)):
+            df.write.parquet(str(where / f"{table}.parquet"))
+        now = spark.read.parquet(str(where / "documents.parquet"))
+        for stage, f in corpus_pipeline.STAGES:
+            before, now = now, f(spark, now, str(where))
+            now.write.parquet(str(where / stage))
+            now = spark.read.parquet(str(where / stage))
+            if stage != "packing":
+                assert now.columns == before.columns
+            if stage == "decontamination" and name == "full":
+                left = Counter(r["doc_id"] for r in now.collect())
+        assert name == "full" or now.count() == 0
+    # the copy of 5 is a near duplicate, 5 holds the item; rows that can't be judged stay, as do the rows of 1
+    assert left == Counter({1: 3, 2: 1, None: 1, 3: 1, 4: 1, 7: 1, 8: 1, 9: 1})
+
+
 def test_stages_take_effect(spark, tmp_path):
     docs, passage = small_tables(tmp_path, spark)
     df = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -291,7 +400,7 @@ def test_stages_take_effect(spark, tmp_path):
     gone = {k for k, _ in docs} - left["toxicity"].keys()
     whole, labels = (spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("documents", "labels"))
     assert gone == {r["doc_id"] for r in toxicity.rejected(whole, labels).collect()}
-    assert len(gone & toxic) > 20 and len(gone - toxic) < 9  # a small sample; the accuracy is tested above
+    assert len(gone & toxic) >= 0.9 * len(toxic) and len(gone - toxic) < 9
     assert left["toxicity"].keys() - left["near_duplicates"].keys() == {11} - gone
     changed = {k for k, t in left["repeated_passages"].items() if t != left["near_duplicates"][k]}
     assert changed == {22} and passage not in left["repeated_passages"][22] and {500, None} <= left["repeated_passages"].keys()

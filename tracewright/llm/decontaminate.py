@@ -4,8 +4,9 @@ Questions and answers are normalised: lower case, runs of white space and ASCII
 space. Each distinct one of at least ``MIN_WORDS`` words is a pattern of one automaton, between spaces,
 so that it matches whole words only. A document is normalised likewise and scanned once; the places
 found are mapped back to characters of the original text. The benchmark is what is kept out of the
-training data, so it is small beside the corpus: its automaton goes to every worker while it has at
-most ``AUTOMATON_CHARS`` characters; a larger benchmark is split into several, scanned one by one.
+training data, so it is small beside the corpus: its automaton goes to every worker while its patterns have at
+most ``AUTOMATON_CHARS`` characters in all; those of a larger one are dealt to several automata, each with a
+scan of its own, so that no task and no step of the driver holds more than one.
 
 Defined cases: a null id, a null or empty text match nothing; null and short items are no patterns;
 items that normalise alike are reported as the smallest item_id; matches may overlap; a passage that
@@ -15,19 +16,17 @@ are reported once. An empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import Spooled, column, number
 from .kernels import NOT_ALNUM, batch_blocks, buffers
 
 MIN_WORDS = 6
-AUTOMATON_CHARS = 20_000_000
+AUTOMATON_CHARS = 4_000_000
 #: The k-th match begins after the k texts between matches and the k-1 matches before it.
 ORACLE_SQL = r"""
 WITH items AS (
@@ -91,42 +90,42 @@ def normal(text: str | None) -> str:
     return normalised(data, offsets)[0].tobytes().decode()
 
 
-def patterns(items: list[tuple[int, str | None]], min_words: int = MIN_WORDS) -> dict[str, int]:
-    found: dict[str, int] = {}
-    for item, text in items:
-        p = normal(text)
-        if item is not None and len(p.split()) >= min_words:
-            found[p] = min(item, found.get(p, item))
-    return found
+def _normal_items(min_words: int):
+    def run(batches):
+        for batch in batches:
+            ps = [normal(x) for x in batch.column("text").to_pylist()]
+            out = pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(ps, pa.string())], names=["item_id", "p"])
+            yield out.filter(pa.array([len(p.split()) >= min_words for p in ps], pa.bool_()))
+
+    return run
+
+
+def patterns(benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(p, item_id): each distinct normalised item that is long enough."""
+    items = benchmark.select(number(benchmark, "item_id").alias("item_id"), column(benchmark, "text").alias("text")).where("item_id is not null and text is not null")
+    return Spooled(items.mapInArrow(_normal_items(min_words), "item_id long, p string").groupBy("p").agg(F.min("item_id").alias("item_id"))).df
 
 
-def automata(found: dict[str, int], chars: int = AUTOMATON_CHARS) -> Iterator:
-    """One automaton, or several if the patterns are too long for one."""
+def automaton(found: list[tuple[str, int]]):
     import ahocorasick
 
-    a, size = ahocorasick.Automaton(), 0
-    for p, item in found.items():
+    a = ahocorasick.Automaton()
+    for p, item in found:
         a.add_word(p, (item, len(p)))
-        size += len(p)
-        if size >= chars:
-            a.make_automaton()
-            yield a
-            a, size = ahocorasick.Automaton(), 0
-    if size:
-        a.make_automaton()
-        yield a
+    a.make_automaton()
+    return a
 
 
-def _scanned(found: dict[str, int]):
+def _scanned(shared):
     def run(batches):
-        machines = list(automata(found))
+        machine = automaton(shared.value)
         # lower case is letter by letter here, so it moves no character
         for batch, i, j, low, offsets in batch_blocks(batches, "text", lower=True):
             text, cut, place = normalised(low, offsets)
             doc, item, start, end = [], [], [], []
             for k in range(j - i):
                 norm = text[cut[k] : cut[k + 1]]
-                hits = [(e, v) for m in machines for e, v in m.iter(norm.tobytes().decode())]
+                hits = list(machine.iter(norm.tobytes().decode()))
                 if not hits:
                     continue
                 byte = place[cut[k] : cut[k + 1]][np.flatnonzero((norm & 0xC0) != 0x80)] - offsets[k]  # by character
@@ -142,12 +141,19 @@ def _scanned(found: dict[str, int]):
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, chars: int = AUTOMATON_CHARS) -> DataFrame:
     """(doc_id, item_id, start, end) of every passage; characters of the original text, end exclusive."""
-    items = benchmark.select(column(benchmark, "item_id").cast("long").alias("item_id"), column(benchmark, "text").alias("text"))
-    found = patterns([tuple(r) for r in items.distinct().toLocalIterator()], min_words)
-    src = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).alias("text")).where("id is not null and text is not null")
-    return src.mapInArrow(_scanned(found), "doc_id long, item_id long, start long, end long").distinct()
+    found, spark = patterns(benchmark, min_words), docs.sparkSession
+    parts = -(-(found.agg(F.sum(F.length("p"))).first()[0] or 0) // chars)
+    src = docs.select(number(docs, id_col).alias("id"), column(docs, text_col).alias("text")).where("id is not null and text is not null")
+    schema, out = "doc_id long, item_id long, start long, end long", None
+    for k in range(parts):
+        own = [tuple(r) for r in found.where(F.pmod(F.xxhash64("p"), F.lit(parts)) == k).select("p", "item_id").collect()]
+        if not own:
+            continue
+        each = src.mapInArrow(_scanned(spark.sparkContext.broadcast(own)), schema)
+        out = each if out is None else out.unionByName(each)
+    return spark.createDataFrame([], schema) if out is None else out.distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ window of a document's words is compared, whatever its lines and sentences: a wi
 begins and ends with a bigram of the template, so only such are looked at, and those only where enough of the
 template's bigrams lie within the sizes that can reach the threshold. Without, compared are the
 sentences and lines of a document (it is cut at line breaks and after a full stop that white space
-follows) and runs of up to ``RUN`` of them, as a notice may take several. Each is a bag of word bigrams;
+follows) and runs of them, as long as the largest template allows. Each is a bag of word bigrams;
 its Dice coefficient with a template is twice the number of shared bigrams by the sum of both sizes. At
 a threshold t, sizes x and y can reach it only if x >= y * t / (2 - t) and the reverse; so templates are
 kept by size, and a run looks at those within the bounds alone. A bigram index leaves out runs without
@@ -32,11 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, number
 from .kernels import NOT_ALNUM, U, batch_blocks, byte_prefix, hash_spans, mix, spans
 
 THRESHOLD = 0.8
-RUN = 3
 #: Short notices by SPDX name. Further templates are a parameter.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -59,6 +58,19 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Proprietary", "All rights reserved."),
 )
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution.
+
+"""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 #: Whole licence texts, which only windows of words can hold.
 FULL_TEXTS: tuple[tuple[str, str], ...] = (
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
@@ -70,6 +82,39 @@ The above copyright notice and this permission notice shall be included in all c
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
 PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION
 OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
+and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("BSD-2-Clause", _BSD + _BSD_END),
+    ("BSD-3-Clause", _BSD + """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+software without specific prior written permission.
+
+""" + _BSD_END),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use
+of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the
+following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We
+make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
 )
 
 
@@ -146,15 +191,15 @@ def _scan(known: Templates, data: np.ndarray, offsets: np.ndarray):
         return
     edge = cuts(data, offsets)
     part_first = np.searchsorted(starts, edge)  # first word of each part
-    # the parts with a known bigram, or into which one runs on
-    part = np.searchsorted(part_first, np.concatenate([hit, hit + 1]), side="right") - 1
     doc_of = np.searchsorted(offsets, edge[:-1], side="right") - 1
-    begins = np.unique(np.concatenate([part - d for d in range(RUN)]))
     largest = known.sizes[-1] / known.bound
-    for p in begins[begins >= 0].tolist():
-        if p >= len(doc_of):
-            continue
-        for q in range(p + 1, min(p + RUN, len(doc_of)) + 1):
+    # the parts from which a run may reach a known bigram
+    near = np.zeros(len(part_first) + 1, np.int64)
+    np.add.at(near, np.searchsorted(part_first, hit - int(largest)), 1)
+    np.add.at(near, np.searchsorted(part_first, hit + 1, side="right"), -1)
+    begins = np.flatnonzero(np.cumsum(near) > 0)
+    for p in begins[begins < len(doc_of)].tolist():
+        for q in range(p + 1, len(doc_of) + 1):
             if doc_of[q - 1] != doc_of[p]:
                 break
             a, b = int(part_first[p]), int(part_first[q])
@@ -235,7 +280,7 @@ def _scanned(templates, threshold: float, anywhere: bool):
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, anywhere: bool = False) -> DataFrame:
     """(doc_id, license, dice, start, end): each licence of a document, and the characters of its best run, or
     with ``anywhere`` of its best window of words."""
-    src = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).alias("text")).where("id is not null and text is not null")
+    src = docs.select(number(docs, id_col).alias("id"), column(docs, text_col).alias("text")).where("id is not null and text is not null")
     each = src.mapInArrow(_scanned(tuple(templates), threshold, anywhere), "doc_id long, license string, dice double, start long, end long")
     first = F.min(F.struct((-F.col("dice")).alias("d"), "start", "end")).alias("m")
     return each.groupBy("doc_id", "license").agg(first).select("doc_id", "license", (-F.col("m.d")).alias("dice"), "m.start", "m.end")

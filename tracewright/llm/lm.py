@@ -1,22 +1,27 @@
 """Scores of documents by a causal self-attention model on subword ids, trained here in numpy.
 
-A token is embedded with its place in the window; one causal self-attention block (``HEADS`` heads) with a
-residual and a ReLU layer follows; the next id is predicted in two steps, its class, then the id's place in
-the class. Classes come from the counts of all ids of the corpus: ids are ordered by count and dealt to as
-many classes as each has places, enough that every id has its own place and embedding. The output biases
-start from these counts.
-
-Training is one pass over every window, by averaging: the windows are dealt to ``ROUNDS`` rounds (by hash of
-the document and place); in each, every task trains from the same parameters on its own windows of the round,
-and the results are averaged by the number of windows. So what is gathered grows with the corpus, as do the
-tasks that do it. A context window holds ``WINDOW`` tokens and the next one begins ``STRIDE`` later; a
-window scores only what the one before did not, so each token is scored once and, but at the beginning of a
-text, with at least WINDOW - STRIDE tokens before it. Windows are scored in batches under one causal mask,
-with padding masked.
+A token is embedded with its place in the window; one causal self-attention block with a residual and a
+ReLU layer follows; the next id is predicted in two steps, its class, then the id within the class, with
+weights of that class. Classes come from the counts of all ids of the corpus: ids are ordered by count and
+successive ones form a class, few frequent ones or many rare ones, such that a prediction takes few outputs;
+every id has its own place, embedding and output weights. The output biases start from these counts, so
+training starts at the unigram model.
+
+Training is one pass over every token of every row. Rows are dealt, by a hash of id and tokens, to rounds (of
+growing ``SHARES``) and within a round to shards of about ``SHARD`` tokens, so that a shard is the same
+whatever the partitions, and there are as many as the corpus has tokens. In a round every shard trains from the
+same parameters on its windows, in an order drawn from its number; the results are averaged by the number of
+windows, in a way that doesn't depend on the order of summing. A row that fills shards by its copies is dealt
+by place instead, as its copies are alike.
+
+A context window holds ``WINDOW`` tokens and the next one begins ``STRIDE`` later; a window scores only what
+the one before did not, so each token is scored once and, but at the beginning of a text, with at least
+WINDOW - STRIDE tokens before it. Windows are scored in batches under one causal mask, with padding masked.
+For training, windows follow one another without overlap, so each token is a target once there, too.
 
 Defined cases: a null id has no score; a null or empty text has 0 tokens and a null score; the first token
 is predicted from a mark of the text's beginning; rows that share an id are scored each. An empty table gives
-no rows; further columns are ignored.
+no rows; further columns are ignored. Ids of the vocabulary must be below 65,536.
 """
 
 from __future__ import annotations
@@ -28,198 +33,291 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spooled, column
-from .kernels import U, batch_blocks, mix
+from .common import Spooled, column, hinted, number
+from .kernels import batch_blocks, frugal
 from .tokens import VOCABULARY, tokenizer
 
 WINDOW, STRIDE = 64, 48
-DIM, HEADS, HIDDEN = 16, 2, 32
-ROUNDS = 3
-BATCH = 256
+DIM, HIDDEN = 16, 32
+#: Sixteenths of the rows that each round takes: the first ones only find the way.
+SHARES = (1, 3, 12)
+#: Tokens of a shard, about.
+SHARD = 4_000_000
+#: Windows of a training step at most, and steps of a pass at least, as far as steps of 8 windows go.
+BATCH = 128
+STEPS = 500
+RATE = 0.08
 _BEGIN, _PAD, _INPUTS = 0, 1, 2  # inputs: the beginning, padding, then the places
 _F = np.float32
-#: Queries of a block when scoring.
-QUERIES = 16
-_LOWER = np.tril(np.ones((QUERIES, QUERIES), _F))
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, _F), 1)
+#: Windows whose attention is done at once, so that what they need stays in the cache, and queries at once.
+BLOCK, QUERIES = 32, 32
+_LOWER = np.tril(np.ones((WINDOW, WINDOW), _F))
+#: Beyond this no exponential is taken of a logit itself, but of its difference to the row's largest.
+_SAFE = 60.0
+
+
+def class_starts(counts: np.ndarray) -> np.ndarray:
+    """Where classes of ids begin, from counts in descending order, so that a prediction takes few outputs: the
+    classes, and with its probability each class's ids. Some of the first ids are classes by themselves."""
+    n, best, least = len(counts), np.zeros(1, np.int64), np.inf
+    upto = np.append(0, np.cumsum(counts)) / max(1, counts.sum())
+    for single in range(0, min(n, 256) + 1, 8):
+        for size in (8, 16, 32, 64, 128):
+            for growth in (1.0, 1.25, 1.5, 2.0):
+                cut, step, at = list(range(single)), float(size), single
+                while at < n:
+                    cut.append(at)
+                    at += int(step)
+                    step *= growth
+                cut = np.array(cut, np.int64)
+                wide = np.diff(np.append(cut, n))
+                share = np.diff(np.append(upto[cut], 1.0))
+                cost = 1.2 * len(cut) + float((share * wide * (wide > 1)).sum())  # a class costs some calls besides
+                if cost < least:
+                    best, least = cut, cost
+    return best
 
 
 class Vocabulary:
-    """Places of ids by count, in ``classes`` classes of as many places."""
+    """Places of ids by count, and the classes that successive places form."""
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray):
         order = np.lexsort((ids, -counts))
         ids, counts = ids[order].astype(np.int64), counts[order].astype(np.float64)
-        self.classes = math.isqrt(len(ids)) + 1  # a place is left for ids that the corpus lacks
-        places = self.classes * self.classes
+        counts = np.append(counts, 0.0) + 1.0  # a place is left for ids that the corpus lacks
         self.place = np.full(int(ids.max(initial=0)) + 2, len(ids), np.int32)
         self.place[ids] = np.arange(len(ids))
-        grid = (np.bincount(self.place[ids], counts, places) + 1.0).reshape(self.classes, self.classes)
-        self.class_bias = np.log(grid.sum(1) / grid.sum()).astype(_F)
-        self.place_bias = np.log(grid / grid.sum(1, keepdims=True)).astype(_F)
+        self.starts = class_starts(counts)
+        self.ends = np.append(self.starts[1:], len(counts))
+        self.of = np.repeat(np.arange(len(self.starts)), self.ends - self.starts)  # class of each place
+        in_class = np.add.reduceat(counts, self.starts)
+        self.class_bias = np.log(in_class / counts.sum()).astype(_F)
+        self.place_bias = np.log(counts / in_class[self.of]).astype(_F)
 
 
 def start(v: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
-    rng, classes = np.random.default_rng(seed), v.classes
+    """Parameters before training; the last of the output weights is the bias."""
+    rng, places = np.random.default_rng(seed), len(v.of)
     w = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape).astype(_F)
+    wc, wp = np.zeros((DIM + 1, len(v.starts)), _F), np.zeros((places, DIM + 1), _F)
+    wc[DIM], wp[:, DIM] = v.class_bias, v.place_bias
+    qk = _F(DIM**-0.25)  # both together scale the product by the root of DIM
     return {
-        "emb": rng.normal(0, 0.3, (classes * classes + _INPUTS, DIM)).astype(_F), "pos": rng.normal(0, 0.1, (WINDOW, DIM)).astype(_F),
-        "q": w(DIM, DIM), "k": w(DIM, DIM), "v": w(DIM, DIM), "o": w(DIM, DIM),
-        "w1": w(DIM, HIDDEN), "b1": np.zeros(HIDDEN, _F), "w2": w(HIDDEN, DIM),
-        "wc": np.zeros((DIM, classes), _F), "bc": v.class_bias.copy(), "wp": np.zeros((DIM, classes), _F), "bp": v.place_bias.copy(),
+        "emb": rng.normal(0, 0.3, (places + _INPUTS, DIM)).astype(_F), "pos": rng.normal(0, 0.1, (WINDOW, DIM)).astype(_F),
+        "qkv": np.concatenate([w(DIM, DIM) * qk, w(DIM, DIM) * qk, w(DIM, DIM)], 1), "o": w(DIM, DIM),
+        "w1": w(DIM, HIDDEN), "b1": np.zeros(HIDDEN, _F), "w2": w(HIDDEN, DIM), "wc": wc, "wp": wp,
     }
 
 
-def _heads(x: np.ndarray) -> np.ndarray:
-    n, t, _ = x.shape
-    return x.reshape(n, t, HEADS, DIM // HEADS).transpose(0, 2, 1, 3)
+def _squares(x: np.ndarray) -> float:
+    return float(np.einsum("ijk,ijk->ij", x, x).max(initial=0))
 
 
-def _joined(x: np.ndarray) -> np.ndarray:
-    n, _, t, _ = x.shape
-    return x.transpose(0, 2, 1, 3).reshape(n, t, DIM)
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(-1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(-1, keepdims=True)
-    return z
-
-
-def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Last hidden states (n, t, DIM) of inputs (n, t) and what the way back needs."""
-    t = x.shape[1]
-    e = p["emb"][x] + p["pos"][:t]
-    q, k, v = _heads(e @ p["q"]), _heads(e @ p["k"]), _heads(e @ p["v"])
-    z = q @ k.transpose(0, 1, 3, 2) * _F((DIM // HEADS) ** -0.5)
-    z += _MASK[:t, :t]  # padding is at the end, where no token looks
-    a = _softmax(z)
-    mixed = _joined(a @ v)
-    h = e + mixed @ p["o"]
-    r = np.maximum(h @ p["w1"] + p["b1"], 0)
-    return h + r @ p["w2"], {"x": x, "e": e, "q": q, "k": k, "v": v, "a": a, "mixed": mixed, "h": h, "r": r}
-
-
-def _logs(p: dict[str, np.ndarray], g: np.ndarray, y: np.ndarray):
-    """log-probabilities over classes and over the places of y's class. g: (m, DIM)."""
-    def log_softmax(z):
-        z -= z.max(-1, keepdims=True)
-        z -= np.log(np.exp(z).sum(-1, keepdims=True))
-        return z
-
-    return log_softmax(g @ p["wc"] + p["bc"]), log_softmax(g @ p["wp"] + p["bp"][y // len(p["bc"])])
-
-
-def hidden(p: dict[str, np.ndarray], x: np.ndarray, start: int = 0) -> np.ndarray:
-    """forward() for scoring: hidden states of the positions from ``start`` on. Queries go in blocks that see
-    only the keys up to their end, and sums divide the mixed values instead of the weights."""
+def hidden(p: dict[str, np.ndarray], x: np.ndarray, begin: int = 0):
+    """(states, what the way back needs) of inputs (n, t) at the positions from ``begin`` on, one after another; a
+    column of ones follows the states. Queries go in blocks that see only the keys up to their end. Padding is at
+    the end, where no token looks."""
     n, t = x.shape
-    e = p["emb"][x]
+    kind = p["emb"].dtype
+    e = p["emb"].take(x.ravel(), 0).reshape(n, t, DIM)
     e += p["pos"][:t]
-    k, v = _heads(e @ p["k"]), _heads(e @ p["v"])
-    own = e[:, start:]
-    q = _heads(own @ (p["q"] * _F((DIM // HEADS) ** -0.5)))
-    large = float((q * q).sum(-1).max(initial=0)) * float((k * k).sum(-1).max(initial=0)) > 60.0**2
-    mixed = np.empty(own.shape, e.dtype)
-    for a in range(0, t - start, QUERIES):
-        b = min(t - start, a + QUERIES)
-        z = q[:, :, a:b] @ k[:, :, : start + b].transpose(0, 1, 3, 2)
+    qkv = (e.reshape(-1, DIM) @ p["qkv"]).reshape(n, t, 3 * DIM)
+    q, k = qkv[:, :, :DIM], qkv[:, :, DIM : 2 * DIM]
+    v = np.ones((n, t, DIM + 1), kind)  # the ones sum the weights
+    v[:, :, :DIM] = qkv[:, :, 2 * DIM :]
+    large = _squares(q) * _squares(k) > _SAFE**2
+    m, weights = np.empty((n, t - begin, DIM + 1), kind), []
+    for lo in range(begin, t, QUERIES):
+        hi = min(t, lo + QUERIES)
+        a = q[:, lo:hi] @ k[:, :hi].transpose(0, 2, 1)
         if large:
-            z -= z.max(-1, keepdims=True)
-        np.exp(z, out=z)
-        z[..., start + a :] *= _LOWER[: b - a, : b - a]
-        m = z @ v[:, :, : start + b]
-        m /= z.sum(-1, keepdims=True)
-        mixed[:, a:b] = _joined(m)
-    h = own + mixed @ p["o"]
-    r = h @ p["w1"] + p["b1"]
+            a[:, _LOWER[lo:hi, :hi] == 0] = -np.inf
+            a -= a.max(-1, keepdims=True)
+        np.exp(a, out=a)
+        a *= _LOWER[lo:hi, :hi]
+        np.matmul(a, v[:, :hi], out=m[:, lo - begin : hi - begin])
+        weights.append((lo, hi, a))
+    total = m[:, :, DIM:]
+    mixed = (m[:, :, :DIM] / total).reshape(-1, DIM)
+    h = mixed @ p["o"]
+    h += (e if not begin else e[:, begin:]).reshape(-1, DIM)
+    r = h @ p["w1"]
+    r += p["b1"]
     np.maximum(r, 0, out=r)
-    return h + r @ p["w2"]
+    g = np.ones((len(h), DIM + 1), kind)
+    np.add(r @ p["w2"], h, out=g[:, :DIM])
+    return g, (x, e, q, k, v, weights, total, mixed, h, r)
 
 
-def _cost(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """-log softmax at one column of each row."""
-    chosen = z[np.arange(len(at)), at]
-    top = 0.0
-    if z.max(initial=0) > 60:
+def _exponentials(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the logits z, in place, less what keeps them finite: their sums, and -log softmax at one column of each row."""
+    chosen = z[np.arange(len(z)), at]
+    if float(z.max(initial=0)) > _SAFE:
         top = z.max(-1)
         z -= top[:, None]
+        chosen = chosen - top
     np.exp(z, out=z)
-    return np.log(z.sum(-1)) + top - chosen
-
-
-def losses(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, at: np.ndarray, start: int = 0) -> np.ndarray:
-    """-log p of the places y at the flat positions ``at`` of the windows x, none of them before ``start``."""
-    row, col = np.divmod(at, x.shape[1])
-    y_class, y_place = np.divmod(y, len(p["bc"]))
-    g = hidden(p, x, start).reshape(-1, DIM)[row * (x.shape[1] - start) + col - start]
-    z = g @ p["wc"]
-    z += p["bc"]
-    cost = _cost(z, y_class)
-    z = g @ p["wp"]
-    z += p["bp"][y_class]
-    return cost + _cost(z, y_place)
-
-
-def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss and its gradients."""
-    out, s = forward(p, x)
-    g = out.reshape(-1, DIM)[at]
-    c, w = _logs(p, g, y)
-    row, m = np.arange(len(y)), _F(1 / max(1, len(y)))
-    y_class, y_place = np.divmod(y, len(p["bc"]))
-    loss = -float((c[row, y_class] + w[row, y_place]).sum() * m)
-    dc, dw = np.exp(c), np.exp(w)
-    dc[row, y_class] -= 1
-    dw[row, y_place] -= 1
-    dc *= m
-    dw *= m
-    of_class = np.zeros(dw.shape, dw.dtype)
-    of_class[row, y_class] = 1
-    d = {"wc": g.T @ dc, "bc": dc.sum(0), "wp": g.T @ dw, "bp": of_class.T @ dw}
-    back = np.zeros((out.shape[0] * out.shape[1], DIM), _F)
-    back[at] = dc @ p["wc"].T + dw @ p["wp"].T
-    back = back.reshape(out.shape)
-    flat = lambda z: z.reshape(-1, z.shape[-1])
-    d["w2"] = flat(s["r"]).T @ flat(back)
-    dr = (back @ p["w2"].T) * (s["r"] > 0)
-    d["w1"], d["b1"] = flat(s["h"]).T @ flat(dr), flat(dr).sum(0)
-    dh = back + dr @ p["w1"].T
-    d["o"] = flat(s["mixed"]).T @ flat(dh)
-    dm = _heads(dh @ p["o"].T)
-    dz = dm @ s["v"].transpose(0, 1, 3, 2)
-    dv = s["a"].transpose(0, 1, 3, 2) @ dm
-    dz -= (dm * _heads(s["mixed"])).sum(-1, keepdims=True)  # what each row of weights passes on, times the weights
-    dz *= s["a"]
-    scale = _F((DIM // HEADS) ** -0.5)
-    dq, dk = dz @ (s["k"] * scale), dz.transpose(0, 1, 3, 2) @ (s["q"] * scale)
-    de = dh.copy()
-    for name, x_ in (("q", dq), ("k", dk), ("v", dv)):
-        x_ = _joined(x_)
-        d[name] = flat(s["e"]).T @ flat(x_)
-        de += x_ @ p[name].T
-    d["pos"] = np.zeros_like(p["pos"])
-    d["pos"][: x.shape[1]] = de.sum(0)
-    ids = s["x"].ravel()
-    d["emb"] = np.stack([np.bincount(ids, flat(de)[:, j], len(p["emb"])) for j in range(DIM)], 1).astype(_F)
-    return loss, d
-
-
-def context(ids: np.ndarray, first: np.ndarray):
-    """Windows of many texts: where each begins in its text and how many tokens it has scored before.
-    Returns (text, begin, scored from, end) of each window. ids of text k are ids[first[k]:first[k+1]]."""
+    total = z @ np.ones(z.shape[1], z.dtype)
+    return total, np.log(total) - chosen
+
+
+class Output:
+    """The two steps of a prediction for hidden states g (with ones) and the places y that follow."""
+
+    def __init__(self, v: Vocabulary, p: dict[str, np.ndarray], g: np.ndarray, y: np.ndarray):
+        self.p, self.g, self.y_class = p, g, v.of[y]
+        self.z = g @ p["wc"]
+        self.total, self.cost = _exponentials(self.z, self.y_class)
+        order = np.argsort(self.y_class.astype(np.uint16), kind="stable")
+        cut = np.searchsorted(self.y_class[order], np.arange(len(v.starts) + 1))
+        wide = v.ends - v.starts
+        classes = np.flatnonzero((wide > 1) & (cut[1:] > cut[:-1]))
+        self.rows = np.concatenate([np.zeros(0, np.int64), *(np.arange(v.starts[c], v.ends[c]) for c in classes)])
+        order = np.concatenate([np.zeros(0, np.int64), *(order[cut[c] : cut[c + 1]] for c in classes)])  # tokens whose class has a second step
+        self.order, self.gs = order, g[order]
+        n = cut[classes + 1] - cut[classes]
+        size = n * wide[classes]
+        self.flat = np.empty(int(size.sum()), g.dtype)
+        at = (np.cumsum(size) - size).tolist()
+        ends = np.cumsum(n).tolist()
+        #: of each class: its first and last token and place, and its logits
+        self.parts = [(b - k, b, int(v.starts[c]), int(v.ends[c]), self.flat[f : f + k * int(wide[c])].reshape(k, -1)) for c, k, b, f in zip(classes, n.tolist(), ends, at, strict=True)]
+        for a, b, lo, hi, z in self.parts:
+            np.matmul(self.gs[a:b], p["wp"][lo:hi].T, out=z)
+        turn = np.arange(len(order)) - np.repeat(np.array(ends, np.int64) - n, n)
+        self.at = np.repeat(np.array(at, np.int64) - v.starts[classes], n) + turn * np.repeat(wide[classes], n) + y[order]
+        chosen = self.flat[self.at]
+        if float(self.flat.max(initial=0)) > _SAFE:
+            for a, b, _, _, z in self.parts:
+                top = z.max(-1)
+                z -= top[:, None]
+                chosen[a:b] -= top
+        np.exp(self.flat, out=self.flat)
+        self.total_p = np.empty(len(order), g.dtype)
+        ones = np.ones(int(wide.max(initial=1)), g.dtype)
+        for a, b, lo, hi, z in self.parts:
+            np.matmul(z, ones[: hi - lo], out=self.total_p[a:b])
+        self.cost[order] += np.log(self.total_p) - chosen
+
+    def back(self):
+        """Gradients of the mean loss by g, wc, and by wp for the places of the classes that occur."""
+        p, n = self.p, len(self.g)
+        inv = self.g.dtype.type(1 / max(1, n))
+        self.z *= (inv / self.total)[:, None]
+        self.z[np.arange(n), self.y_class] -= inv
+        dg = self.z @ p["wc"][:DIM].T
+        share = inv / self.total_p
+        for a, b, _, _, z in self.parts:
+            z *= share[a:b, None]
+        self.flat[self.at] -= inv
+        of_place = np.empty((len(self.order), DIM), dg.dtype)
+        dwp, done = np.empty((len(self.rows), DIM + 1), dg.dtype), 0
+        for a, b, lo, hi, z in self.parts:
+            np.matmul(z.T, self.gs[a:b], out=dwp[done : done + hi - lo])
+            np.matmul(z, p["wp"][lo:hi, :DIM], out=of_place[a:b])
+            done += hi - lo
+        dg[self.order] += of_place
+        return dg, self.g.T @ self.z, self.rows, dwp
+
+
+def back(p: dict[str, np.ndarray], kept: tuple, dh: np.ndarray, d: dict[str, np.ndarray]) -> np.ndarray:
+    """Adds to the gradients d what follows from dh, by the hidden states; returns that by the embeddings."""
+    x, e, q, k, v, weights, total, mixed, h, r = kept
+    n, t = x.shape
+    d["w2"] += r.T @ dh
+    dr = dh @ p["w2"].T
+    dr *= r > 0
+    d["w1"] += h.T @ dr
+    d["b1"] += np.ones(len(dr), dr.dtype) @ dr
+    dh += dr @ p["w1"].T
+    d["o"] += mixed.T @ dh
+    dm = np.empty((n, t, DIM + 1), dh.dtype)  # by the unnormalised sums, then by their total
+    np.divide((dh @ p["o"].T).reshape(n, t, DIM), total, out=dm[:, :, :DIM])
+    dm[:, :, DIM] = -np.einsum("ijk,ijk->ij", dm[:, :, :DIM], mixed.reshape(n, t, DIM))
+    dqkv = np.zeros((n, t, 3 * DIM), dh.dtype)
+    for lo, hi, a in weights:
+        da = dm[:, lo:hi] @ v[:, :hi].transpose(0, 2, 1)
+        da *= a
+        dqkv[:, lo:hi, :DIM] = da @ k[:, :hi]
+        dqkv[:, :hi, DIM : 2 * DIM] += da.transpose(0, 2, 1) @ q[:, lo:hi]
+        dqkv[:, :hi, 2 * DIM :] += a.transpose(0, 2, 1) @ dm[:, lo:hi, :DIM]
+    dqkv = dqkv.reshape(-1, 3 * DIM)
+    d["qkv"] += e.reshape(-1, DIM).T @ dqkv
+    dh += dqkv @ p["qkv"].T
+    d["pos"][:t] += dh.reshape(n, t, DIM).sum(0)
+    return dh
+
+
+def losses(v: Vocabulary, p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, at: np.ndarray, begin: int = 0) -> np.ndarray:
+    """-log p of the places y at the flat positions ``at`` of the windows x, none of them before ``begin``."""
+    t = x.shape[1]
+    row, col = np.divmod(at, t)
+    g = np.concatenate([hidden(p, x[a : a + BLOCK], begin)[0] for a in range(0, len(x), BLOCK)])
+    return Output(v, p, g[row * (t - begin) + col - begin], y).cost
+
+
+def gradients(v: Vocabulary, p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Losses, the gradients of their mean, and those of ``emb`` and ``wp`` by the rows that occur: (rows, gradients)."""
+    kept, states = [], []
+    for a in range(0, len(x), BLOCK):
+        g, own = hidden(p, x[a : a + BLOCK])
+        states.append(g)
+        kept.append(own)
+    g = np.concatenate(states)
+    out = Output(v, p, g if len(at) == len(g) else g[at], y)
+    dg, dwc, used, dwp = out.back()
+    if len(at) < len(g):
+        dh = np.zeros((len(g), DIM), dg.dtype)
+        dh[at] = dg
+    else:
+        dh = dg
+    d = {k: np.zeros_like(p[k]) for k in ("pos", "qkv", "o", "w1", "b1", "w2")}
+    done = 0
+    for own in kept:
+        back(p, own, dh[done : done + own[0].size], d)
+        done += own[0].size
+    ids = x.ravel()
+    order = np.argsort(ids.astype(np.uint32 if len(p["emb"]) > 1 << 16 else np.uint16), kind="stable")  # of 16 bits, sorted by radix
+    cut = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    return out.cost, d | {"wc": dwc}, {"emb": (ids[order[cut]], np.add.reduceat(dh[order], cut, 0)), "wp": (used, dwp)}
+
+
+class Trainer:
+    """Adagrad, which needs no schedule where shards see different amounts."""
+
+    def __init__(self, v: Vocabulary, p: dict[str, np.ndarray], rate: float = RATE):
+        self.v, self.rate = v, _F(rate)
+        self.p = {k: x.copy() for k, x in p.items()}
+        self.g = {k: np.full(x.shape, 1e-8, _F) for k, x in p.items()}
+
+    def step(self, x: np.ndarray, y: np.ndarray, at: np.ndarray) -> float:
+        cost, whole, rows = gradients(self.v, self.p, x, y, at)
+        for k, v in whole.items():
+            self.g[k] += v * v
+            self.p[k] -= self.rate * v / np.sqrt(self.g[k])
+        for k, (r, v) in rows.items():
+            seen = self.g[k][r] + v * v
+            self.g[k][r] = seen
+            v *= self.rate
+            v /= np.sqrt(seen)
+            self.p[k][r] -= v
+        return float(cost.mean())
+
+
+def context(first: np.ndarray, stride: int = STRIDE):
+    """Windows of many texts: (text, begin, scored from, end) of each, in the text's tokens. ids of text k are
+    first[k]:first[k+1]."""
     n = np.diff(first)
-    count = np.where(n > WINDOW, -(-(n - WINDOW) // STRIDE) + 1, (n > 0).astype(np.int64))
+    count = np.where(n > WINDOW, -(-(n - WINDOW) // stride) + 1, (n > 0).astype(np.int64))
     text = np.repeat(np.arange(len(n)), count)
     turn = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    begin = turn * STRIDE
+    begin = turn * stride
     end = np.minimum(begin + WINDOW, n[text])
-    return text, begin, np.where(turn > 0, begin + WINDOW - STRIDE, 0), end
+    return text, begin, np.where(turn > 0, begin + WINDOW - stride, 0), end
 
 
 def windows_of(places: np.ndarray, first: np.ndarray, text: np.ndarray, begin: np.ndarray, scored: np.ndarray, end: np.ndarray):
-    """Inputs, each position holding the token before the one to predict; targets and their flat positions."""
+    """Inputs, each position holding the token before the one to predict; the places of targets and their flat positions."""
     col = np.arange(WINDOW)
     at = begin[:, None] + col
     inside = at < end[:, None]
@@ -229,25 +327,10 @@ def windows_of(places: np.ndarray, first: np.ndarray, text: np.ndarray, begin: n
     x[before] = places[(source - 1)[before]] + _INPUTS
     x[inside & (at == 0)] = _BEGIN
     flat = np.flatnonzero(inside & (at >= scored[:, None]))
-    return x, source.ravel()[flat], flat
-
-
-class Trainer:
-    """Adagrad, which needs no schedule where tasks see different amounts."""
-
-    def __init__(self, p: dict[str, np.ndarray], rate: float = 0.08):
-        self.p, self.rate = {k: v.copy() for k, v in p.items()}, rate
-        self.g = {k: np.full(v.shape, 1e-8, _F) for k, v in p.items()}
-
-    def step(self, x: np.ndarray, y: np.ndarray, at: np.ndarray) -> float:
-        loss, d = gradients(self.p, x, y, at)
-        for k, v in d.items():
-            self.g[k] += v * v
-            self.p[k] -= _F(self.rate) * v / np.sqrt(self.g[k])
-        return loss
+    return x, places[source.ravel()[flat]].astype(np.int64), flat
 
 
-def _ids_of(batch: pa.RecordBatch):
+def _ids_of(batch: pa.RecordBatch | pa.Table):
     ids = batch.column("ids")
     n = np.array([len(x.as_buffer()) // 2 for x in ids], np.int64) if len(ids) else np.zeros(0, np.int64)
     raw = b"".join(x.as_py() for x in ids)
@@ -276,103 +359,110 @@ def _counted(batches):
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["token", "n"])
 
 
-def _trained(shared, share: int, turn: int):
+def trained(vocabulary: Vocabulary, p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray, seed: int) -> tuple[int, dict[str, np.ndarray]]:
+    """Number of windows of a shard, and the parameters after one pass over them."""
+    win = context(first, WINDOW)
+    places = vocabulary.place[ids]
+    order = np.random.default_rng(seed).permutation(len(win[0]))
+    size = min(BATCH, max(8, len(order) // STEPS))
+    trainer = Trainer(vocabulary, p)
+    for k in range(0, len(order), size):
+        trainer.step(*windows_of(places, first, *(w[order[k : k + size]] for w in win)))
+    return len(order), trainer.p
+
+
+#: Parameters are rounded to this before they are averaged, and weights are whole numbers, so sums are exact in any order.
+_GRAIN = 2.0**24
+
+
+def _trained(shared, turn: int):
     def run(batches):
+        from pyspark import TaskContext
+
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        frugal(32 << 20)  # arrays of some MB come and go: mapping them anew would take much of the time
+        table = pa.Table.from_batches(batches).sort_by([("h", "ascending"), ("id", "ascending")])
         vocabulary, p = shared.value
-        trainer, n = Trainer(p), 0
-        held: list[tuple] = []
-
-        def flush():
-            nonlocal held
-            x, y, at, base = [], [], [], 0
-            for x_, y_, at_ in held:
-                x.append(x_)
-                y.append(y_)
-                at.append(at_ + base * WINDOW)
-                base += len(x_)
-            x, y, at = np.concatenate(x), np.concatenate(y), np.concatenate(at)
-            for k in range(0, len(x), BATCH):
-                lo, hi = np.searchsorted(at, [k * WINDOW, (k + BATCH) * WINDOW])
-                trainer.step(x[k : k + BATCH], y[lo:hi], at[lo:hi] - k * WINDOW)
-            held = []
-
-        waiting = 0
-        for batch in batches:
-            ids, first = _ids_of(batch)
-            key = batch.column("id").to_numpy().astype(np.int64).view(U)
-            win = context(ids, first)
-            pick = (mix(key[win[0]] * U(0x9E3779B97F4A7C15) + win[1].astype(U)) + U(turn)) % U(share) == 0
-            if pick.any():
-                places = vocabulary.place[ids]
-                x, source, at = windows_of(places, first, *(w[pick] for w in win))
-                held.append((x, places[source].astype(np.int64), at))
-                n += len(x)
-                waiting += len(x)
-                if waiting >= 4 * BATCH:
-                    flush()
-                    waiting = 0
-        if held:
-            flush()
+        n, after = trained(vocabulary, p, *_ids_of(table), turn * 1_000_003 + TaskContext.get().partitionId())
         if n:
-            raw = np.concatenate([trainer.p[k].ravel() for k in sorted(p)]).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([raw], pa.binary())], names=["n", "p"])
+            weight = max(1, round(n * WINDOW * 256 / SHARD))
+            raw = np.concatenate([after[k].ravel() for k in sorted(after)]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(np.rint(raw * _GRAIN) * weight).tobytes()], pa.binary())], names=["n", "p"])
 
     return run
 
 
-def _averaged(table: pa.Table) -> pa.Table:
-    total, n = None, 0
-    for k, raw in zip(table.column("n").to_pylist(), table.column("p"), strict=True):
-        v = np.frombuffer(raw.as_buffer(), _F).astype(np.float64) * k
-        total, n = (v if total is None else total + v), n + k
-    return pa.table({"n": pa.array([n]), "p": pa.array([(total / n).astype(_F).tobytes()], pa.binary())})
+def _summed(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(raw.as_buffer(), np.float64) for raw in table.column("p"))
+    return pa.table({"n": pa.array([sum(table.column("n").to_pylist())]), "p": pa.array([total.tobytes()], pa.binary())})
 
 
-def _unflat(raw: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    flat, at, out = np.frombuffer(raw, _F), 0, {}
+def _unflat(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    at, out = 0, {}
     for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).copy()
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(_F)
         at += like[k].size
     return out
 
 
-def train(tokens: DataFrame, share: int | None = None, rounds: int = ROUNDS) -> tuple[Vocabulary, dict[str, np.ndarray]]:
-    """Vocabulary from all ids, and parameters. A round takes one window in ``share``: by default in as many as
-    there are rounds, so that each window trains once. tokens: (id, ids), spooled."""
-    share = share or rounds
+def dealt(tokens: DataFrame, shard: int = SHARD) -> DataFrame:
+    """tokens with ``u``, a hash that deals rows to rounds and shards. The copies of a row that together are larger
+    than a quarter of a shard are dealt apart; there are at most four such rows a shard."""
+    heavy = tokens.groupBy("h").agg((F.sum(F.length("ids")) / 2).alias("size")).where(F.col("size") > shard / 4)
+    heavy = Spooled(heavy.select("h", F.ceil(F.col("size") * 4 / shard).alias("parts"))).df
+    if not heavy.limit(1).count():
+        return tokens.withColumn("u", F.xxhash64("h", F.lit(0)))
+    turn = F.coalesce(F.pmod("turn", F.col("parts")), F.lit(0))
+    return tokens.join(hinted(heavy), "h", "left").withColumn("u", F.xxhash64("h", turn)).drop("parts")
+
+
+def rounds(tokens: DataFrame, total: int, shard: int = SHARD) -> list[DataFrame]:
+    """(id, ids, h, shard) of each round, a shard a partition. tokens: as of tokenized(), with ``total`` tokens."""
+    rows, low, out = dealt(tokens, shard).withColumn("slot", F.pmod("u", F.lit(sum(SHARES)))), 0, []
+    for share in SHARES:
+        parts = max(1, round(total * share / sum(SHARES) / shard))
+        own = rows.where((F.col("slot") >= low) & (F.col("slot") < low + share))
+        out.append(own.select("id", "ids", "h", F.pmod(F.shiftright("u", 8), F.lit(parts)).cast("int").alias("shard")).repartitionById(parts, "shard"))
+        low += share
+    return out
+
+
+def train(tokens: DataFrame, shard: int = SHARD) -> tuple[Vocabulary, dict[str, np.ndarray]]:
+    """Vocabulary from all ids, and parameters from all tokens. tokens: as of tokenized()."""
     sc = tokens.sparkSession.sparkContext
     counts = tokens.mapInArrow(_counted, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     vocabulary = Vocabulary(counts["token"].to_numpy().astype(np.int64), counts["n"].to_numpy())
     p = start(vocabulary)
-    for turn in range(rounds):
-        made = tokens.mapInArrow(_trained(sc.broadcast((vocabulary, p)), share, turn), "n long, p binary")
-        # a tree: groups of tasks first, so that no task reads all
-        parts = made.withColumn("g", F.pmod(F.xxhash64("p"), F.lit(16))).groupBy("g").applyInArrow(_averaged, "n long, p binary")
-        row = parts.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(_averaged, "n long, p binary").first()
-        if row is None:  # no window fell to this round
-            continue
-        p = _unflat(row["p"], p)
+    for turn, own in enumerate(rounds(tokens, int(counts["n"].sum()), shard)):
+        made = own.mapInArrow(_trained(sc.broadcast((vocabulary, p)), turn), "n long, p binary")
+        # a tree: groups of shards first, so that no task reads all
+        some = made.withColumn("g", F.pmod(F.xxhash64("p"), F.lit(16))).groupBy("g").applyInArrow(_summed, "n long, p binary")
+        row = some.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(_summed, "n long, p binary").first()
+        if row is not None:  # else no row fell to this round
+            p = _unflat(np.frombuffer(row["p"], np.float64) / (row["n"] * _GRAIN), p)
     return vocabulary, p
 
 
 def _scored(shared):
     def run(batches):
+        frugal(32 << 20)  # arrays of some MB come and go: mapping them anew would take much of the time
         vocabulary, p = shared.value
         for batch in batches:
             ids, first = _ids_of(batch)
             total = np.zeros(len(first) - 1)
-            win = context(ids, first)
+            win = context(first)
             places = vocabulary.place[np.minimum(ids, len(vocabulary.place) - 1)]
-            for start in (0, WINDOW - STRIDE):  # texts' first windows, then the others, whose first tokens are scored already
-                group = np.flatnonzero(win[2] == 0 if start == 0 else win[2] > 0)
+            for begin in (0, WINDOW - STRIDE):  # texts' first windows, then the others, whose first tokens are scored already
+                group = np.flatnonzero(win[2] == 0 if begin == 0 else win[2] > 0)
                 order = group[np.argsort((win[3] - win[1])[group], kind="stable")]  # windows of like length together
                 for k in range(0, len(order), BATCH):
                     part = [w[order[k : k + BATCH]] for w in win]
-                    x, source, at = windows_of(places, first, *part)
-                    t = max(start + 1, int((part[3] - part[1]).max()))
+                    x, y, at = windows_of(places, first, *part)
+                    t = max(begin + 1, int((part[3] - part[1]).max()))
                     row, col = np.divmod(at, WINDOW)
-                    loss = losses(p, x[:, :t], places[source].astype(np.int64), row * t + col, start)
-                    total += np.bincount(part[0][row], loss, len(total))
+                    total += np.bincount(part[0][row], losses(vocabulary, p, x[:, :t], y, row * t + col, begin), len(total))
             n = np.diff(first)
             mean = pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n.astype(np.int64)), mean], names=["doc_id", "n_tokens", "nll"])
@@ -380,9 +470,14 @@ def _scored(shared):
     return run
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, share: int | None = None, rounds: int = ROUNDS) -> DataFrame:
+def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(id, ids, h, turn), written once: the tokens of every row, two bytes each, a hash of both, and the row's number."""
+    src = docs.select(number(docs, id_col).alias("id"), F.coalesce(column(docs, text_col), F.lit("")).alias("text")).where("id is not null")
+    return Spooled(src.mapInArrow(_tokenized(vocabulary), "id long, ids binary").withColumn("h", F.xxhash64("id", "ids")).withColumn("turn", F.monotonically_increasing_id())).df
+
+
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, shard: int = SHARD) -> DataFrame:
     """(doc_id, n_tokens, nll): mean negative log-probability of a token."""
-    src = docs.select(column(docs, id_col).cast("long").alias("id"), F.coalesce(column(docs, text_col), F.lit("")).alias("text")).where("id is not null")
-    tokens = Spooled(src.mapInArrow(_tokenized(vocabulary), "id long, ids binary"))
-    model = train(tokens.df, share, rounds)
-    return tokens.df.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, n_tokens long, nll double")
+    tokens = tokenized(docs, id_col, text_col, vocabulary)
+    model = train(tokens, shard)
+    return tokens.select("id", "ids").mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, n_tokens long, nll double")

@@ -6,11 +6,12 @@ of lengths, whatever the number of documents: lengths from long to short; for ea
 over remaining capacities finds the tightest open bin that has room; as many pieces as bins of that
 kind go there at once. The result is that of best-fit decreasing over all pieces of the corpus, piece
 by piece. It is a list of runs: pieces so many to so many of a length go to bins from so many on. Its
-length depends on ``CAPACITY``, not on the corpus. Pieces are numbered within their length by salted
-counts, so that no length is numbered in one task.
+length depends on ``CAPACITY``, not on the corpus. Pieces are numbered within their length in parts of about
+``TOGETHER``, so that no length is numbered in one task; the parts' first numbers are from counts. Of bins that
+are equally tight, the one takes the piece that came to that room first.
 
 Defined cases: a null text or a text without tokens goes to no bin; a null id is kept as such; rows
-that share an id are packed each; pieces of one length are taken by salt, id, row hash and chunk. An
+that share an id are packed each; pieces of one length are taken by part, id, row hash and chunk. An
 empty table gives no rows; further columns are ignored.
 """
 
@@ -23,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spooled, column
+from .common import Spooled, column, number
 from .kernels import batch_blocks, byte_prefix, hash_spans
 from .tokens import VOCABULARY, tokenizer
 
 CAPACITY = 2048
-SALTS = 32
+#: Pieces of one length that are numbered together, about.
+TOGETHER = 1_000_000
 
 
 class SegmentTree:
@@ -118,43 +120,48 @@ def _sized(capacity: int, vocabulary: str):
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, chunk, length, row): the pieces of each row's text, and a hash of it."""
-    src = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).alias("text")).where("text is not null")
+    src = docs.select(number(docs, id_col).alias("id"), column(docs, text_col).alias("text")).where("text is not null")
     return src.mapInArrow(_sized(capacity, vocabulary), "doc_id long, chunk int, length int, row long")
 
 
 def _lookup(counts: list[tuple[int, int, int]], capacity: int) -> dict[str, np.ndarray]:
-    """The plan and the salts' first ranks as sorted arrays. counts: (length, salt, n)."""
+    """The plan and the parts' first numbers as sorted arrays. counts: (length, part, n)."""
     histogram: dict[int, int] = {}
-    salted, base = [], []
-    for length, salt, n in sorted(counts):
-        salted.append(length * SALTS + salt)
+    parts, base = [], []
+    for length, part, n in sorted(counts):
+        parts.append((length << 40) + part)
         base.append(histogram.get(length, 0))
         histogram[length] = base[-1] + n
     runs = np.array(sorted(plan(histogram, capacity)) or np.zeros((0, 5)), np.int64).reshape(-1, 5)
-    return {"salted": np.array(salted, np.int64), "base": np.array(base, np.int64), "runs": runs}
+    return {"parts": np.array(parts, np.int64), "base": np.array(base, np.int64), "runs": runs}
 
 
-def _at(known: dict[str, np.ndarray], capacity: int, length: np.ndarray, salt: np.ndarray, rank: np.ndarray):
-    """Bin and place of pieces by their rank within length and salt."""
-    rank = rank + known["base"][np.searchsorted(known["salted"], length * SALTS + salt)]
+def _at(known: dict[str, np.ndarray], capacity: int, length: np.ndarray, part: np.ndarray, rank: np.ndarray):
+    """Bin and place of pieces by their rank within length and part."""
+    rank = rank + known["base"][np.searchsorted(known["parts"], (length << 40) + part)]
     runs = known["runs"]
     r = runs[np.searchsorted((runs[:, 0] << 48) + runs[:, 1], (length << 48) + rank, side="right") - 1]
     turn = rank - r[:, 1]
     return r[:, 2] + turn // r[:, 3], capacity - r[:, 4] + turn % r[:, 3] * length
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, together: int = TOGETHER) -> DataFrame:
     """(doc_id, start, length, bin, place): tokens from ``start`` on, ``length`` of them, of the document
     are in sequence ``bin`` from ``place`` on."""
-    sized = Spooled(pieces(docs, id_col, text_col, capacity, vocabulary).withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "chunk"), F.lit(SALTS)).cast("int")))
-    counts = [tuple(r) for r in sized.df.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()]
+    hashed = pieces(docs, id_col, text_col, capacity, vocabulary).withColumn("hash", F.xxhash64("doc_id", "row", "chunk"))
+    sized = Spooled(hashed).df
+    parts = [1] * (capacity + 1)
+    for length, n in sized.groupBy("length").agg(F.count("*")).collect():
+        parts[length] = -(-n // together)
+    sized = sized.withColumn("part", F.pmod("hash", F.element_at(F.lit(parts), F.col("length") + 1)))
+    counts = [tuple(r) for r in sized.groupBy("length", "part").agg(F.count("*").alias("n")).collect()]
     known = docs.sparkSession.sparkContext.broadcast(_lookup(counts, capacity))
 
     def run(batches):
         for b in batches:
-            bin_, place = _at(known.value, capacity, *(b.column(c).to_numpy().astype(np.int64) for c in ("length", "salt", "rank")))
+            bin_, place = _at(known.value, capacity, *(b.column(c).to_numpy().astype(np.int64) for c in ("length", "part", "rank")))
             start = pa.array(b.column("chunk").to_numpy().astype(np.int64) * capacity)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), start, b.column("length"), pa.array(bin_), pa.array(place.astype(np.int32))], names=["doc_id", "start", "length", "bin", "place"])
 
-    ranked = sized.df.withColumn("rank", F.expr("row_number() over (partition by length, salt order by doc_id, row, chunk) - 1"))
+    ranked = sized.withColumn("rank", F.expr("row_number() over (partition by length, part order by doc_id, row, chunk) - 1"))
     return ranked.mapInArrow(run, "doc_id long, start long, length int, bin long, place int")

@@ -9,8 +9,8 @@ new inflections of a known word share most of its n-grams, so they score alike.
 Labels are of documents, so training chooses the tiles: at first all tiles of toxic documents count
 as toxic; after each round only the highest-scored tiles of each do, against the highest-scored and
 random tiles of clean ones. A document's score is that of its highest tile, so one insult in a long
-text counts. The threshold is the one with the best F1, false alarms weighing ``FALSE_ALARM`` times, on a
-fifth of the sample that isn't trained on; ties take the highest.
+text counts. The threshold is the one with the best F1, false alarms weighing ``FALSE_ALARM`` times, on
+documents that the model which scores them wasn't trained on; ties take the highest.
 
 The sample is bounded: at most ``SAMPLE // 2`` labelled documents of either class, those with the
 smallest hash of id. Everything else covers all documents.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spooled, column, hinted
+from .common import Spooled, column, hinted, number
 from .kernels import SPACE, U, batch_blocks, blocks, byte_prefix, hash_spans, spans
 
 SAMPLE = 2_400
@@ -42,6 +42,10 @@ FLOOR = 64
 BATCH = 4096
 STEPS = 32
 RATE = 0.2
+#: The threshold comes from one part of FOLDS that isn't trained on. Below CROSS documents that part would have too
+#: few toxic ones: then each part is left out in turn, and in the end all are trained on.
+FOLDS = 5
+CROSS = 1_000
 #: Weight of a clean document taken for toxic; the sample has far more toxic ones than a corpus.
 FALSE_ALARM = 8
 #: Bytes of text that are taken apart at once; n-grams need some hundred times as much memory.
@@ -88,24 +92,25 @@ def tiles(first: np.ndarray):
 
 
 def tiled(data: np.ndarray, offsets: np.ndarray):
-    """Starts, ends and tile of each word, but for those that a tile has before; the document of every tile."""
+    """Starts, ends, tile and hash of each word, but for those that a tile has before; the document of every tile."""
     starts, ends, first = spans(data, offsets, SPACE)
     tile, doc = tiles(first)
     h = hash_spans(byte_prefix(data), starts, ends)
     order = np.lexsort((h, tile))
     keep = np.ones(len(h), bool)
     keep[order[1:]] = (h[order[1:]] != h[order[:-1]]) | (tile[order[1:]] != tile[order[:-1]])
-    return starts[keep], ends[keep], tile[keep], doc
+    return starts[keep], ends[keep], tile[keep], h[keep], doc
 
 
 def tile_scores(weights: np.ndarray, bias: float, data: np.ndarray, offsets: np.ndarray):
     """Toxic probability of each tile, and the document of each. weights: by bucket."""
-    starts, ends, tile, doc = tiled(data, offsets)
-    total, count = np.zeros(len(starts)), np.zeros(len(starts))
-    for bucket, word in grams(data, starts, ends):
-        total += np.bincount(word, weights[bucket], len(starts))
-        count += np.bincount(word, minlength=len(starts))
-    mean = np.bincount(tile, total, len(doc)) / np.maximum(np.bincount(tile, count, len(doc)), FLOOR)
+    starts, ends, tile, h, doc = tiled(data, offsets)
+    _, where, word = np.unique(h, return_index=True, return_inverse=True)  # a word's n-grams are summed once a block
+    total, count = np.zeros(len(where)), np.zeros(len(where))
+    for bucket, of in grams(data, starts[where], ends[where]):
+        total += np.bincount(of, weights[bucket], len(where))
+        count += np.bincount(of, minlength=len(where))
+    mean = np.bincount(tile, total[word], len(doc)) / np.maximum(np.bincount(tile, count[word], len(doc)), FLOOR)
     return 1 / (1 + np.exp(-np.clip(mean + bias, -30, 30))), doc
 
 
@@ -116,35 +121,52 @@ def doc_scores(weights: np.ndarray, bias: float, data: np.ndarray, offsets: np.n
     return out
 
 
+def _ragged(cut: np.ndarray, which: np.ndarray):
+    """Places in a ragged array of all entries of the rows ``which``, and for each entry the index of its row."""
+    n = cut[which + 1] - cut[which]
+    row = np.repeat(np.arange(len(which)), n)
+    return np.arange(int(n.sum())) + np.repeat(cut[which] - (np.cumsum(n) - n), n), row
+
+
 class Tiles:
-    """The n-grams of many tiles, as one ragged array."""
+    """The words of many tiles and the n-grams of each distinct word, as ragged arrays."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        docs, buckets, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        docs, found, hashes, sizes = [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        buckets, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        known = np.zeros(0, U)
         for i, j in blocks(offsets, BLOCK):
             own = data[offsets[i] : offsets[j]]
-            starts, ends, tile, doc = tiled(own, offsets[i : j + 1] - offsets[i])
-            parts = [(bucket.astype(np.int32), tile[word].astype(np.int32)) for bucket, word in grams(own, starts, ends)]
-            owner = np.concatenate([t for _, t in parts]) if parts else np.zeros(0, np.int32)
-            order = np.argsort(owner, kind="stable")
-            buckets.append(np.concatenate([x for x, _ in parts])[order] if parts else np.zeros(0, np.int32))
-            sizes.append(np.bincount(owner, minlength=len(doc)))
+            starts, ends, tile, h, doc = tiled(own, offsets[i : j + 1] - offsets[i])
+            order = np.argsort(tile, kind="stable")
+            hashes.append(h[order])
+            sizes.append(np.bincount(tile, minlength=len(doc)))
             docs.append(doc + i)
+            new, where = np.unique(h, return_index=True)
+            fresh = ~np.isin(new, known)
+            new, where = new[fresh], where[fresh]
+            parts = list(grams(own, starts[where], ends[where]))
+            word = np.concatenate([np.zeros(0, np.int64), *(w for _, w in parts)])
+            order = np.argsort(word, kind="stable")
+            buckets.append(np.concatenate([np.zeros(0, np.int32), *(x.astype(np.int32) for x, _ in parts)])[order])
+            counts.append(np.bincount(word, minlength=len(new)))
+            found.append(new)
+            known = np.concatenate([known, new])
+            known.sort()
         self.doc, self.bucket = np.concatenate(docs), np.concatenate(buckets)
         self.cut = np.append(0, np.cumsum(np.concatenate(sizes)))
-
-    def take(self, which: np.ndarray):
-        n = self.cut[which + 1] - self.cut[which]
-        row = np.repeat(np.arange(len(which)), n)
-        at = np.arange(int(n.sum())) + np.repeat(self.cut[which] - (np.cumsum(n) - n), n)
-        return self.bucket[at], row, 1.0 / np.maximum(n, FLOOR)
+        self.grams = np.append(0, np.cumsum(np.concatenate(counts)))
+        names = np.concatenate(found)
+        order = np.argsort(names)
+        self.word = order[np.searchsorted(names[order], np.concatenate(hashes))].astype(np.int32)
+        upto = np.append(0, np.cumsum(np.diff(self.grams)[self.word]))
+        self.size = np.maximum(upto[self.cut[1:]] - upto[self.cut[:-1]], FLOOR)  # n-grams of a tile
 
     def scores(self, weights: np.ndarray, bias: float) -> np.ndarray:
-        total = np.zeros(len(self.cut) - 1)
-        for i, j in blocks(self.cut, BLOCK):  # so many n-grams at once
-            part = np.append(0.0, np.cumsum(weights[self.bucket[self.cut[i] : self.cut[j]]]))
-            total[i:j] = part[self.cut[i + 1 : j + 1] - self.cut[i]] - part[self.cut[i:j] - self.cut[i]]
-        return total / np.maximum(np.diff(self.cut), FLOOR) + bias
+        upto = np.append(0.0, np.cumsum(weights[self.bucket]))
+        of_word = upto[self.grams[1:]] - upto[self.grams[:-1]]
+        upto = np.append(0.0, np.cumsum(of_word[self.word]))
+        return (upto[self.cut[1:]] - upto[self.cut[:-1]]) / self.size + bias
 
 
 class Model:
@@ -157,12 +179,16 @@ class Model:
         self.b = np.zeros(2)
         self.ge, self.gu, self.gb = np.full(BUCKETS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
 
-    def step(self, bucket: np.ndarray, row: np.ndarray, inv: np.ndarray, y: np.ndarray, rate: float) -> None:
+    def step(self, t: Tiles, which: np.ndarray, y: np.ndarray, rate: float) -> None:
         n = len(y)
-        used, local = np.unique(bucket, return_inverse=True)
+        at, row = _ragged(t.cut, which)
+        words, word = np.unique(t.word[at], return_inverse=True)
+        at, of_word = _ragged(t.grams, words)
+        used, local = np.unique(t.bucket[at], return_inverse=True)
         vec = self.e[used]
-        share = inv[row]
-        bag = np.stack([np.bincount(row, vec[local, k] * share, n) for k in range(DIM)], 1)
+        share = 1.0 / t.size[which][row]
+        by_word = np.stack([np.bincount(of_word, vec[local, k], len(words)) for k in range(DIM)], 1)
+        bag = np.stack([np.bincount(row, by_word[word, k] * share, n) for k in range(DIM)], 1)
         z = bag @ self.u + self.b
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
@@ -171,7 +197,8 @@ class Model:
         pos = max(1, int(y.sum()))
         p *= np.where(y == 1, 0.5 / pos, 0.5 / max(1, n - pos))[:, None]  # both classes weigh the same
         gu, gb, back = bag.T @ p, p.sum(axis=0), p @ self.u.T
-        ge = np.stack([np.bincount(local, back[row, k] * share, len(used)) for k in range(DIM)], 1)
+        gw = np.stack([np.bincount(word, back[row, k] * share, len(words)) for k in range(DIM)], 1)
+        ge = np.stack([np.bincount(local, gw[of_word, k], len(used)) for k in range(DIM)], 1)
         self.ge[used] += (ge**2).mean(axis=1)
         self.e[used] -= rate * ge / np.sqrt(self.ge[used])[:, None]
         self.gu += gu**2
@@ -192,18 +219,13 @@ def top_tile(score: np.ndarray, doc: np.ndarray, n: int, rank: int = 1) -> np.nd
     return order[place < rank]
 
 
-def train(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float, float]:
-    """(weight by bucket, bias, threshold) from lower-case texts and their labels."""
-    rng = np.random.default_rng(seed)
-    n = len(y)
-    held = rng.random(n) < 0.2
-    if len({*y[~held]}) < 2:
-        held[:] = False
-    t = Tiles(data, offsets)
-    toxic, trained = y[t.doc] == 1, ~held[t.doc]
+def fit(t: Tiles, y: np.ndarray, trained: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
+    """(weight by bucket, bias) from the documents marked in ``trained``."""
+    rng, n = np.random.default_rng(seed), len(y)
+    toxic, trained = y[t.doc] == 1, trained[t.doc]
     clean = np.flatnonzero(~toxic & trained)
     model = Model(seed)
-    chosen = np.flatnonzero(toxic & trained)
+    chosen = keep = np.flatnonzero(toxic & trained)
     hard = np.zeros(0, np.int64)
     for turn in range(ROUNDS):
         easy = rng.choice(clean, min(len(clean), max(2000, 2 * len(chosen))), replace=False)
@@ -213,16 +235,36 @@ def train(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, seed: int = 7) -
             size = min(BATCH, max(32, len(all_) // STEPS))
             for k in range(0, len(all_), size):
                 part = all_[k : k + size]
-                model.step(*t.take(part), toxic[part].astype(np.int64), RATE)
+                model.step(t, part, toxic[part].astype(np.int64), RATE)
         score = t.scores(*model.folded())
-        keep = np.flatnonzero(toxic & trained)
         chosen = keep[top_tile(score[keep], t.doc[keep], n, 2 if turn < ROUNDS - 2 else 1)]
         hard = clean[top_tile(score[clean], t.doc[clean], n)]
-    weights, bias = model.folded()
-    best = np.full(n, -30.0)
-    np.maximum.at(best, t.doc, t.scores(weights, bias))
-    check = held if len({*y[held]}) == 2 else np.ones(n, bool)
-    s, truth = best[check], y[check]
+    return model.folded()
+
+
+def train(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float, float]:
+    """(weight by bucket, bias, threshold) from lower-case texts and their labels."""
+    t, n = Tiles(data, offsets), len(y)
+    fold = np.random.default_rng(seed).integers(0, FOLDS, n)
+    if n < CROSS:  # dealt by class, so that no fold lacks one that it could have
+        for k in (0, 1):
+            own = np.flatnonzero(y == k)
+            fold[own[np.argsort(fold[own], kind="stable")]] = np.arange(len(own)) % FOLDS
+    best, held, model = np.full(n, -30.0), np.zeros(n, bool), None
+    for k in range(FOLDS if n < CROSS else 1):
+        out = fold == k
+        if len({*y[~out]}) == 2 and out.any():
+            model = fit(t, y, ~out, seed + k)
+            mine = out[t.doc]
+            np.maximum.at(best, t.doc[mine], t.scores(*model)[mine])
+            held |= out
+    if n < CROSS or model is None:
+        model = fit(t, y, np.ones(n, bool), seed)
+    weights, bias = model
+    if len({*y[held]}) < 2:
+        held[:], best[:] = True, -30.0
+        np.maximum.at(best, t.doc, t.scores(weights, bias))
+    s, truth = best[held], y[held]
     order = np.argsort(-s, kind="stable")
     hits = np.cumsum(truth[order])
     false = np.arange(1, len(s) + 1) - hits
@@ -235,13 +277,13 @@ def train(data: np.ndarray, offsets: np.ndarray, y: np.ndarray, seed: int = 7) -
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bound: int = SAMPLE) -> DataFrame:
     """(id, text, y) of at most ``bound`` labelled documents, half of them of either class, by hash of id."""
-    known = labels.select(column(labels, "doc_id").cast("long").alias("id"), column(labels, "toxic").alias("y")).where("id is not null and y in (0, 1)")
+    known = labels.select(number(labels, "doc_id").alias("id"), column(labels, "toxic").alias("y")).where("id is not null and y in (0, 1)")
     known = known.groupBy("id").agg(F.max("y").cast("int").alias("y"))
-    ids = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).isNotNull().alias("some")).where("some").select("id").distinct()
+    ids = docs.select(number(docs, id_col).alias("id"), column(docs, text_col).isNotNull().alias("some")).where("some").select("id").distinct()
     known = known.join(ids, "id", "left_semi")
     first = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(bound // 2) for y in (0, 1)]
     picked = Spooled(first[0].union(first[1]))
-    src = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).alias("text")).where("text is not null")
+    src = docs.select(number(docs, id_col).alias("id"), column(docs, text_col).alias("text")).where("text is not null")
     return src.join(F.broadcast(picked.df), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
 
@@ -283,7 +325,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             s = doc_scores(weights, bias, data, offsets)
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(s), pa.array((s >= cut) & (s > 0))], names=["doc_id", "score", "toxic"])
 
-    src = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).alias("text")).where("id is not null")
+    src = docs.select(number(docs, id_col).alias("id"), column(docs, text_col).alias("text")).where("id is not null")
     return src.mapInArrow(run, "doc_id long, score double, toxic boolean")
 
 
