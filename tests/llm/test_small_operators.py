@@ -379,14 +379,16 @@ def best_windows(text, templates):
         bag = Counter(zip(v := licenses.words_of(t), v[1:]))
         if not bag.keys() & {*pairs}:
             continue  # nothing shared, so 0 everywhere
+        places, until = {}, np.zeros(len(pairs), np.int64)  # a pair counts in windows that begin before this
+        for j, pair in enumerate(pairs):
+            places.setdefault(pair, []).append(j)
+            k = len(places[pair]) - 1 - bag[pair]  # as many later ones as the template has count already
+            until[j] = places[pair][k] + 1 if k >= 0 else 0
         for a in range(len(pairs)):
-            seen, shared = Counter(), 0
-            for b in range(a, len(pairs)):
-                seen[pairs[b]] += 1
-                shared += seen[pairs[b]] <= bag[pairs[b]]
-                d = 2 * shared / (b - a + 1 + bag.total())
-                if d >= licenses.THRESHOLD:
-                    out[name] = max(out.get(name, 0), d)
+            shared = np.cumsum(until[a:] <= a)
+            d = (2 * shared / (np.arange(1, len(shared) + 1) + bag.total())).max()
+            if d >= licenses.THRESHOLD:
+                out[name] = max(out.get(name, 0), float(d))
     return out
 
 
