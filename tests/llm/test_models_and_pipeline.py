@@ -129,6 +129,42 @@ def test_scores_are_those_of_plain_attention(large):
         assert (r["nll"] is None) == (want is None) and (want is None or math.isclose(r["nll"], want, rel_tol=1e-3))
 
 
+def test_ids_are_the_tokenizers_beside_any_white_space():
+    texts = ["", "a \u3000b", "word \xa0\n next", "a\u2003\u2003 b", "\x85 \t", " plain text ", "\n\n x", "a line\n\xa0\xa0and an indented one\n\xa0"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    made = pa.Table.from_batches(lm._tokenized(lm.VOCABULARY)(iter([batch])))
+    enc = encoding()
+    assert [np.frombuffer(x, np.uint16).tolist() for x in made["ids"].to_pylist()] == [enc.encode_ordinary(t) for t in texts]
+
+
+def test_attention_stays_finite_whatever_the_sums_of_weights():
+    rng = np.random.default_rng(11)
+    ids, first = rng.integers(0, 40, 128), np.array([0, 64, 128])
+    v = lm.Vocabulary(*np.unique(ids, return_counts=True))
+    x, y, at = windows(v, ids, first)
+    for scale in (1, 30, 300):  # logits from small ones to thousands, of either sign
+        p = {k: a.astype(np.float32) for k, a in lm.start(v).items()}
+        p["qkv"][:, : 2 * lm.DIM] *= scale
+        want = np.concatenate([plain_losses(v, p, v.place[ids[a:b]]) for a, b in zip(first, first[1:])])
+        cost, whole, rows = lm.gradients(v, p, x, y, at)
+        assert np.allclose(cost, want, atol=2e-2 if scale > 30 else 2e-3)
+        assert all(np.isfinite(g).all() for g in whole.values()) and all(np.isfinite(g).all() for _, g in rows.values())
+
+
+def test_classes_of_one_id_wherever_they_are(monkeypatch):
+    rng = np.random.default_rng(12)
+    ids, first = rng.integers(0, 20, 100), np.array([0, 40, 100])
+    for starts in ([0, 1, 2, 10, 20], [0, 4, 5, 9, 10], range(21), [0]):  # among them a last class of one id, and all
+        monkeypatch.setattr(lm, "class_starts", lambda counts: np.array(starts))  # noqa: B023
+        v = lm.Vocabulary(*np.unique(ids, return_counts=True))
+        p = {k: a + rng.normal(0, 0.05, a.shape) for k, a in lm.start(v).items()}
+        x, y, at = windows(v, ids, first)
+        want = np.concatenate([plain_losses(v, p, v.place[ids[a:b]]) for a, b in zip(first, first[1:])])
+        cost, _, rows = lm.gradients(v, p, x, y, at)
+        assert np.allclose(cost, want, atol=1e-6)
+        assert set(rows["wp"][0].tolist()) <= set(range(21)) and len(set(rows["wp"][0].tolist())) == len(rows["wp"][0])
+
+
 def test_every_id_has_its_own_place():
     for n in (1, 63, 64, 4095, 9000):
         ids = np.arange(n) * 5

@@ -27,6 +27,7 @@ no rows; further columns are ignored. Ids of the vocabulary must be below 65,536
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,8 @@ BLOCK, QUERIES = 32, 32
 _LOWER = np.tril(np.ones((WINDOW, WINDOW), _F))
 #: Beyond this no exponential is taken of a logit itself, but of its difference to the row's largest.
 _SAFE = 60.0
+#: So, too, in attention, where a query's weights sum to more than this or to less than its inverse.
+_RANGE = 1e25
 
 
 def class_starts(counts: np.ndarray) -> np.ndarray:
@@ -109,43 +112,45 @@ def start(v: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     }
 
 
-def _squares(x: np.ndarray) -> float:
-    return float(np.einsum("ijk,ijk->ij", x, x).max(initial=0))
-
-
-def hidden(p: dict[str, np.ndarray], x: np.ndarray, begin: int = 0):
+def hidden(p: dict[str, np.ndarray], x: np.ndarray, begin: int = 0, out: np.ndarray | None = None):
     """(states, what the way back needs) of inputs (n, t) at the positions from ``begin`` on, one after another; a
     column of ones follows the states. Queries go in blocks that see only the keys up to their end. Padding is at
-    the end, where no token looks."""
+    the end, where no token looks. out: where the states go."""
     n, t = x.shape
     kind = p["emb"].dtype
-    e = p["emb"].take(x.ravel(), 0).reshape(n, t, DIM)
-    e += p["pos"][:t]
-    qkv = (e.reshape(-1, DIM) @ p["qkv"]).reshape(n, t, 3 * DIM)
-    q, k = qkv[:, :, :DIM], qkv[:, :, DIM : 2 * DIM]
-    v = np.ones((n, t, DIM + 1), kind)  # the ones sum the weights
-    v[:, :, :DIM] = qkv[:, :, 2 * DIM :]
-    large = _squares(q) * _squares(k) > _SAFE**2
-    m, weights = np.empty((n, t - begin, DIM + 1), kind), []
-    for lo in range(begin, t, QUERIES):
-        hi = min(t, lo + QUERIES)
-        a = q[:, lo:hi] @ k[:, :hi].transpose(0, 2, 1)
-        if large:
-            a[:, _LOWER[lo:hi, :hi] == 0] = -np.inf
-            a -= a.max(-1, keepdims=True)
-        np.exp(a, out=a)
-        a *= _LOWER[lo:hi, :hi]
-        np.matmul(a, v[:, :hi], out=m[:, lo - begin : hi - begin])
-        weights.append((lo, hi, a))
-    total = m[:, :, DIM:]
+    e = p["emb"].take(x.ravel(), 0)
+    by_window = e.reshape(n, t * DIM)
+    by_window += p["pos"][:t].ravel()
+    qkv = np.empty((n, t, 3 * DIM + 1), kind)
+    np.matmul(e, p["qkv"], out=qkv.reshape(n * t, -1)[:, : 3 * DIM])
+    qkv[:, :, 3 * DIM] = 1  # the ones sum the weights
+    q, k, v = qkv[:, :, :DIM], qkv[:, :, DIM : 2 * DIM], qkv[:, :, 2 * DIM :]
+    m = np.empty((n, t - begin, DIM + 1), kind)
+    for safe in (False, True):
+        weights = []
+        for lo in range(begin, t, QUERIES):
+            hi = min(t, lo + QUERIES)
+            a = q[:, lo:hi] @ k[:, :hi].transpose(0, 2, 1)
+            if safe:
+                a[:, _LOWER[lo:hi, :hi] == 0] = -np.inf
+                a -= a.max(-1, keepdims=True)
+            with np.errstate(over="ignore", invalid="ignore"):
+                np.exp(a, out=a)
+                a *= _LOWER[lo:hi, :hi]
+                np.matmul(a, v[:, :hi], out=m[:, lo - begin : hi - begin])
+            weights.append((lo, hi, a))
+        total = m[:, :, DIM:]
+        if float(total.min(initial=1)) > 1 / _RANGE and float(total.max(initial=1)) < _RANGE:  # neither holds of what isn't a number
+            break
     mixed = (m[:, :, :DIM] / total).reshape(-1, DIM)
     h = mixed @ p["o"]
-    h += (e if not begin else e[:, begin:]).reshape(-1, DIM)
+    h += e if not begin else e.reshape(n, t, DIM)[:, begin:].reshape(-1, DIM)
     r = h @ p["w1"]
     r += p["b1"]
     np.maximum(r, 0, out=r)
-    g = np.ones((len(h), DIM + 1), kind)
+    g = np.empty((len(h), DIM + 1), kind) if out is None else out
     np.add(r @ p["w2"], h, out=g[:, :DIM])
+    g[:, DIM] = 1
     return g, (x, e, q, k, v, weights, total, mixed, h, r)
 
 
@@ -162,62 +167,70 @@ def _exponentials(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Output:
-    """The two steps of a prediction for hidden states g (with ones) and the places y that follow."""
-
-    def __init__(self, v: Vocabulary, p: dict[str, np.ndarray], g: np.ndarray, y: np.ndarray):
-        self.p, self.g, self.y_class = p, g, v.of[y]
-        self.z = g @ p["wc"]
-        self.total, self.cost = _exponentials(self.z, self.y_class)
-        order = np.argsort(self.y_class.astype(np.uint16), kind="stable")
-        cut = np.searchsorted(self.y_class[order], np.arange(len(v.starts) + 1))
-        wide = v.ends - v.starts
-        classes = np.flatnonzero((wide > 1) & (cut[1:] > cut[:-1]))
-        self.rows = np.concatenate([np.zeros(0, np.int64), *(np.arange(v.starts[c], v.ends[c]) for c in classes)])
-        order = np.concatenate([np.zeros(0, np.int64), *(order[cut[c] : cut[c + 1]] for c in classes)])  # tokens whose class has a second step
-        self.order, self.gs = order, g[order]
-        n = cut[classes + 1] - cut[classes]
+    """The two steps of a prediction of the places y from the rows ``at`` of the hidden states g (with ones). Tokens
+    are taken in the order of their classes, ``order``, so that those of a class follow one another."""
+
+    def __init__(self, v: Vocabulary, p: dict[str, np.ndarray], g: np.ndarray, at: np.ndarray, y: np.ndarray):
+        self.p, wide = p, v.ends - v.starts
+        turns = np.argsort(wide > 1, kind="stable")  # classes of one id come first, which have no second step
+        turn_of = np.argsort(turns)
+        turn = turn_of.take(v.of.take(y)).astype(np.uint16)
+        order = np.argsort(turn, kind="stable")
+        turn, y = turn.take(order), y.take(order)
+        self.order, self.y_class = order, turns.take(turn)
+        self.g = g.take(at.take(order), 0)
+        self.z = self.g @ p["wc"]
+        self.total, cost = _exponentials(self.z, self.y_class)
+        cut = np.searchsorted(turn, np.arange(len(turns) + 1, dtype=np.int64))
+        single = int((wide == 1).sum())
+        self.second = int(cut[single])  # the first token with a second step
+        some = single + np.flatnonzero(np.diff(cut[single:]))
+        classes, cut, n = turns[some], cut[some], np.diff(cut)[some]
         size = n * wide[classes]
-        self.flat = np.empty(int(size.sum()), g.dtype)
-        at = (np.cumsum(size) - size).tolist()
-        ends = np.cumsum(n).tolist()
+        flat = self.flat = np.empty(int(size.sum()), g.dtype)
+        first = np.cumsum(size) - size
         #: of each class: its first and last token and place, and its logits
-        self.parts = [(b - k, b, int(v.starts[c]), int(v.ends[c]), self.flat[f : f + k * int(wide[c])].reshape(k, -1)) for c, k, b, f in zip(classes, n.tolist(), ends, at, strict=True)]
+        self.parts = [(a, a + k, lo, lo + w, flat[f : f + k * w].reshape(k, w)) for a, k, lo, w, f in zip(cut.tolist(), n.tolist(), v.starts[classes].tolist(), wide[classes].tolist(), first.tolist(), strict=True)]
         for a, b, lo, hi, z in self.parts:
-            np.matmul(self.gs[a:b], p["wp"][lo:hi].T, out=z)
-        turn = np.arange(len(order)) - np.repeat(np.array(ends, np.int64) - n, n)
-        self.at = np.repeat(np.array(at, np.int64) - v.starts[classes], n) + turn * np.repeat(wide[classes], n) + y[order]
-        chosen = self.flat[self.at]
-        if float(self.flat.max(initial=0)) > _SAFE:
+            np.matmul(self.g[a:b], p["wp"][lo:hi].T, out=z)
+        begin = np.repeat(first - cut * wide[classes] - v.starts[classes], n)
+        self.at = np.arange(self.second, len(y)) * np.repeat(wide[classes], n) + begin + y[self.second :]
+        chosen = flat.take(self.at)
+        if float(flat.max(initial=0)) > _SAFE:
             for a, b, _, _, z in self.parts:
                 top = z.max(-1)
                 z -= top[:, None]
-                chosen[a:b] -= top
-        np.exp(self.flat, out=self.flat)
-        self.total_p = np.empty(len(order), g.dtype)
+                chosen[a - self.second : b - self.second] -= top
+        np.exp(flat, out=flat)
+        self.total_p = np.empty(len(y) - self.second, g.dtype)
         ones = np.ones(int(wide.max(initial=1)), g.dtype)
         for a, b, lo, hi, z in self.parts:
-            np.matmul(z, ones[: hi - lo], out=self.total_p[a:b])
-        self.cost[order] += np.log(self.total_p) - chosen
+            np.matmul(z, ones[: hi - lo], out=self.total_p[a - self.second : b - self.second])
+        cost[self.second :] += np.log(self.total_p) - chosen
+        self.cost = np.empty_like(cost)
+        self.cost[order] = cost
 
     def back(self):
-        """Gradients of the mean loss by g, wc, and by wp for the places of the classes that occur."""
+        """Gradients of the mean loss by g in the order of classes, by wc, and by wp for the places of the classes that occur."""
         p, n = self.p, len(self.g)
         inv = self.g.dtype.type(1 / max(1, n))
         self.z *= (inv / self.total)[:, None]
         self.z[np.arange(n), self.y_class] -= inv
         dg = self.z @ p["wc"][:DIM].T
-        share = inv / self.total_p
-        for a, b, _, _, z in self.parts:
-            z *= share[a:b, None]
-        self.flat[self.at] -= inv
-        of_place = np.empty((len(self.order), DIM), dg.dtype)
-        dwp, done = np.empty((len(self.rows), DIM + 1), dg.dtype), 0
+        # within a class, what all logits of a token are to be divided by is taken to its state
+        share = (inv / self.total_p)[:, None]
+        self.flat[self.at] -= self.total_p
+        gs = self.g[self.second :] * share
+        of_place = np.empty((len(gs), DIM), dg.dtype)
+        rows = np.concatenate([np.zeros(0, np.int64), *(np.arange(lo, hi) for _, _, lo, hi, _ in self.parts)])
+        dwp, done = np.empty((len(rows), DIM + 1), dg.dtype), 0
         for a, b, lo, hi, z in self.parts:
-            np.matmul(z.T, self.gs[a:b], out=dwp[done : done + hi - lo])
-            np.matmul(z, p["wp"][lo:hi, :DIM], out=of_place[a:b])
+            np.matmul(z.T, gs[a - self.second : b - self.second], out=dwp[done : done + hi - lo])
+            np.matmul(z, p["wp"][lo:hi, :DIM], out=of_place[a - self.second : b - self.second])
             done += hi - lo
-        dg[self.order] += of_place
-        return dg, self.g.T @ self.z, self.rows, dwp
+        of_place *= share
+        dg[self.second :] += of_place
+        return dg, self.g.T @ self.z, rows, dwp
 
 
 def back(p: dict[str, np.ndarray], kept: tuple, dh: np.ndarray, d: dict[str, np.ndarray]) -> np.ndarray:
@@ -234,17 +247,22 @@ def back(p: dict[str, np.ndarray], kept: tuple, dh: np.ndarray, d: dict[str, np.
     dm = np.empty((n, t, DIM + 1), dh.dtype)  # by the unnormalised sums, then by their total
     np.divide((dh @ p["o"].T).reshape(n, t, DIM), total, out=dm[:, :, :DIM])
     dm[:, :, DIM] = -np.einsum("ijk,ijk->ij", dm[:, :, :DIM], mixed.reshape(n, t, DIM))
-    dqkv = np.zeros((n, t, 3 * DIM), dh.dtype)
-    for lo, hi, a in weights:
+    dqkv = np.empty((n, t, 3 * DIM), dh.dtype)
+    dq, dk, dv = dqkv[:, :, :DIM], dqkv[:, :, DIM : 2 * DIM], dqkv[:, :, 2 * DIM :]
+    for lo, hi, a in reversed(weights):  # the last block sees all keys
         da = dm[:, lo:hi] @ v[:, :hi].transpose(0, 2, 1)
         da *= a
-        dqkv[:, lo:hi, :DIM] = da @ k[:, :hi]
-        dqkv[:, :hi, DIM : 2 * DIM] += da.transpose(0, 2, 1) @ q[:, lo:hi]
-        dqkv[:, :hi, 2 * DIM :] += a.transpose(0, 2, 1) @ dm[:, lo:hi, :DIM]
+        np.matmul(da, k[:, :hi], out=dq[:, lo:hi])
+        if hi == t:
+            np.matmul(da.transpose(0, 2, 1), q[:, lo:hi], out=dk)
+            np.matmul(a.transpose(0, 2, 1), dm[:, lo:hi, :DIM], out=dv)
+        else:
+            dk[:, :hi] += da.transpose(0, 2, 1) @ q[:, lo:hi]
+            dv[:, :hi] += a.transpose(0, 2, 1) @ dm[:, lo:hi, :DIM]
     dqkv = dqkv.reshape(-1, 3 * DIM)
-    d["qkv"] += e.reshape(-1, DIM).T @ dqkv
+    d["qkv"] += e.T @ dqkv
     dh += dqkv @ p["qkv"].T
-    d["pos"][:t] += dh.reshape(n, t, DIM).sum(0)
+    d["pos"][:t] += dh.reshape(n, t * DIM).sum(0).reshape(t, DIM)
     return dh
 
 
@@ -252,25 +270,22 @@ def losses(v: Vocabulary, p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray
     """-log p of the places y at the flat positions ``at`` of the windows x, none of them before ``begin``."""
     t = x.shape[1]
     row, col = np.divmod(at, t)
-    g = np.concatenate([hidden(p, x[a : a + BLOCK], begin)[0] for a in range(0, len(x), BLOCK)])
-    return Output(v, p, g[row * (t - begin) + col - begin], y).cost
+    t -= begin
+    g = np.empty((len(x) * t, DIM + 1), p["emb"].dtype)
+    for a in range(0, len(x), BLOCK):
+        hidden(p, x[a : a + BLOCK], begin, g[a * t : (a + BLOCK) * t])
+    return Output(v, p, g, row * t + col - begin, y).cost
 
 
 def gradients(v: Vocabulary, p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], dict[str, tuple[np.ndarray, np.ndarray]]]:
     """Losses, the gradients of their mean, and those of ``emb`` and ``wp`` by the rows that occur: (rows, gradients)."""
-    kept, states = [], []
-    for a in range(0, len(x), BLOCK):
-        g, own = hidden(p, x[a : a + BLOCK])
-        states.append(g)
-        kept.append(own)
-    g = np.concatenate(states)
-    out = Output(v, p, g if len(at) == len(g) else g[at], y)
+    t = x.shape[1]
+    g = np.empty((x.size, DIM + 1), p["emb"].dtype)
+    kept = [hidden(p, x[a : a + BLOCK], 0, g[a * t : (a + BLOCK) * t])[1] for a in range(0, len(x), BLOCK)]
+    out = Output(v, p, g, at, y)
     dg, dwc, used, dwp = out.back()
-    if len(at) < len(g):
-        dh = np.zeros((len(g), DIM), dg.dtype)
-        dh[at] = dg
-    else:
-        dh = dg
+    dh = np.zeros((len(g), DIM), dg.dtype) if len(at) < len(g) else np.empty((len(g), DIM), dg.dtype)
+    dh[at.take(out.order)] = dg
     d = {k: np.zeros_like(p[k]) for k in ("pos", "qkv", "o", "w1", "b1", "w2")}
     done = 0
     for own in kept:
@@ -339,13 +354,14 @@ def _ids_of(batch: pa.RecordBatch | pa.Table):
 
 def _tokenized(vocabulary: str):
     def run(batches):
-        tok = tokenizer(vocabulary)
+        encoder = tokenizer(vocabulary).encoder
         for batch, i, j, data, offsets in batch_blocks(batches, "text"):
-            ids, first = tok.encode(data, offsets)
-            if len(ids) and int(ids.max()) >= 1 << 16:
-                raise ValueError("ids must be below 65536")
-            low = ids.astype(np.uint16)
-            parts = [low[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            raw, parts = data.tobytes(), []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                ids = encoder.encode_ordinary(raw[a:b].decode("utf-8", "replace"))  # of the whole text: by pieces, new ones cost more than is saved
+                if max(ids, default=0) >= 1 << 16:
+                    raise ValueError("ids must be below 65536")
+                parts.append(array("H", ids).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(parts, pa.binary())], names=["id", "ids"])
 
     return run
