@@ -3,7 +3,9 @@
 import gzip
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +111,82 @@ def test_spans():
     assert len(made({"events": [{"input": "q"}, {"input": "q"}]}, "agentops_events")[0].spans) == 3
 
 
+def test_agentops_events_distinct():
+    nan = json.loads('[{"a": NaN}, {"a": NaN}]')
+    events = [{"a": 1, "b": [1, {"c": None}]}, {"b": [True, {"c": None}], "a": 1.0}, {"a": 1, "b": [{"c": None}, 1]}, {"a": "1"}, {}, {"a": []}, {"a": {}}, {"a": [[], 0]}, {"a": [0, []]}, *nan]
+    (m,) = made({"events": events}, "agentops_events")
+    distinct = []
+    for e in events:
+        if e and e not in distinct:
+            distinct.append(e)
+    assert [p["event"] for k, p in m.spans if k == "agentops.event"] == distinct and len(distinct) == 8
+    deep = json.loads('{"a":' * 800 + "1" + "}" * 800)
+    assert len(made({"events": [deep, deep]}, "agentops_events")[0].spans) == 3
+
+
+def test_long_conversation_takes_linear_steps(monkeypatch):
+    """Every message is signed a few times, and an event compared with few others, however many there are."""
+    steps = {"signs": 0, "compared": 0}
+    sign = adapters.Made.sign
+
+    def counted(self, m):
+        steps["signs"] += 1
+        return sign(self, m)
+
+    class Event(dict):
+        __hash__ = None
+
+        def __eq__(self, other):
+            steps["compared"] += 1
+            return dict.__eq__(self, other)
+
+    monkeypatch.setattr(adapters.Made, "sign", counted)
+    n = 300
+    events = [Event(input=f"q{i // 2}", output=f"a{i // 2}") for i in range(n)]
+    (m,) = made({"events": events}, "agentops_events")
+    assert turns(m) == [t for i in range(n // 2) for t in (("user", f"q{i}"), ("assistant", f"a{i}"))] and len(m.spans) == n + n // 2
+    assert steps["signs"] <= 4 * n and steps["compared"] <= 2 * n
+    mixed = adapters.Made("x").add(adapters.said("user", "a")).add_new(adapters.said("user", "a"), adapters.said("user", "b"))
+    mixed.add(adapters.said("user", "b"), adapters.said("user", "c")).add_new(adapters.said("user", "c"), adapters.said("user", "d"))
+    assert [c for _, c in turns(mixed)] == ["a", "b", "b", "c", "d"]
+
+
+def test_converter_memory_is_that_of_a_slice(spark):
+    """Python holds the values of a slice of an Arrow batch, not of all its records."""
+
+    class Plan:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    run = adapters.normalized(Plan(), "agentops_events")
+
+    def batch(n):
+        raw = [json.dumps({"events": [{"input": f"{i}:{k}" + "x" * 900, "output": "y"} for k in range(2)]}) for i in range(n)]
+        raw[1::97] = [None] * len(raw[1::97])
+        return pa.RecordBatch.from_pydict({"file": pa.array(["f"] * n), "pos": pa.array(range(n), pa.int64()), "raw": pa.array(raw, pa.string())})
+
+    def peak(given):
+        tracemalloc.start()
+        try:
+            keys = [k for b in run([given]) for k in b.column("rec_key").to_pylist()]
+            return keys, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    (few, low), (many, high) = peak(batch(1000)), peak(batch(4000))
+    assert few == [f"f:{i}" for i in range(1000)] and many == [f"f:{i}" for i in range(4000)]
+    assert high < 1.5 * low
+    small = pa.RecordBatch.from_pydict({"file": pa.array(["f"] * 2500), "pos": pa.array(range(2500), pa.int64()), "raw": pa.array(['{"events":[]}'] * 2500)})
+    assert [b.num_rows for b in run([small])] == [1000, 1000, 500]
+    given = batch(1200)
+    whole = [r for b in run([given]) for r in b.to_pylist()]
+    assert whole == [r for i in range(0, 1200, 7) for b in run([given.slice(i, 7)]) for r in b.to_pylist()]
+    assert sum(r["error"] is not None for r in whole) == 13
+
+
 def test_mcp():
     log = [{"id": 1, "result": {"content": [{"text": "early"}]}}, {"id": "1", "method": "tools/call", "params": {"name": "t", "arguments": {"a": 1}, "_meta": {"mcp.session.id": "s"}}}, {"method": "notifications/progress"}, {"id": 1, "result": {"content": [{"text": "ok"}]}}, {"id": 8, "result": {}}]
     first, note = made({"messages": log}, "mcp")
